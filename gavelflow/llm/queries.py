@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .packing import pack
+from . import toxicity
 
 #: White space and word patterns of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -29,6 +30,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
@@ -36,6 +42,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op10_pack": op10_pack,
 }
 
