@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .packing import pack
-from . import toxicity
+from . import line_dedup, toxicity
 
 #: White space and word patterns of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op10_pack": op10_pack,
 }
 
@@ -54,4 +59,16 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, k.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AS kept, d.text_sha256
         FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
     """,
+    "op8_line_dedup": """
+        WITH l AS (SELECT doc_id, i - 1 AS i, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
+        p AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+        f AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS n FROM p WHERE next IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (VALUES (0), (1)) AS v(k) WHERE n > 1),
+        m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i),
+        r AS (SELECT doc_id, count(*) AS size FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m WHERE gone) GROUP BY doc_id, island),
+        s AS (SELECT doc_id, count(*) AS n_runs, max(size) AS longest_run FROM r GROUP BY doc_id)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, coalesce(any_value(n_runs), 0) AS n_runs, coalesce(any_value(longest_run), 0) AS longest_run,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m LEFT JOIN s USING (doc_id) GROUP BY doc_id
+    """,
 }
