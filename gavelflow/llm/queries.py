@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .packing import pack
-from . import line_dedup, toxicity
+from . import line_dedup, mixing, toxicity
 
 #: White space and word patterns of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -30,6 +30,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -45,6 +49,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_mixing": op3_mixing,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op8_line_dedup": op8_line_dedup,
