@@ -24,7 +24,13 @@ from .common import drop_files, release, shared_dir
 
 #: The characters that do not count when texts are compared.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore"
+#: The disk-backed store, with logs of changes as checkpoints, and without space set aside for each of many small stores.
+STORE_CONF = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -46,14 +52,16 @@ def _keep_id(best: Column) -> Column:
 
 def ingest(stream: DataFrame, checkpoint: str, digest: Callable[[Column], Column] = sha256) -> None:
     """Run all available micro-batches of (doc_id, text, locator) through the keyed state at checkpoint."""
-    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STORE_CONF}
+    for k, v in STORE_CONF.items():
+        spark.conf.set(k, v)
     try:
         state = stream.select(digest(normalised(F.col("text"))).alias("digest"), _best().alias("best")).groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.max("best").alias("best"))
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
