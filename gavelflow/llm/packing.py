@@ -81,7 +81,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, closing: int = 0, s
     p = cut(pieces(docs, vocabulary, size, closing))  # texts are encoded once
     shards = max(1, round(p.count() / shard_pieces))
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         t = t.drop_columns("shard").sort_by([(k, "ascending") for k in ("doc_id", "piece", "length", "ids_crc32")])
         bins, offset = sum_of_squares(t["length"].to_numpy(), size)
         return t.append_column("sequence_id", pa.array(bins * shards + key[0].as_py())).append_column("offset", pa.array(offset))
