@@ -108,19 +108,20 @@ class Texts:
         self.n_words = np.bincount(self.doc, minlength=self.n)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])  # of each text, its first word
 
-    def hashes(self) -> np.ndarray:
-        """A uint64 for each word: a polynomial over its bytes, finalised with its length."""
-        n = len(self.buf) + 1
-        power = np.full(n, U64(_BASE))
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        total = np.zeros(n, U64)
-        np.cumsum((self.buf + U64(1)) * power[:-1], out=total[1:])
-        back = np.full(n, U64(_BASE_INV))
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        h = (total[self.end] - total[self.start]) * back[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    def hashes(self, most: int = 1 << 21) -> np.ndarray:
+        """A uint64 for each word: a polynomial over its bytes, finalised with its length. Taken in spans of about ``most`` bytes."""
+        out = np.zeros(len(self.start), U64)
+        edges = np.unique(np.concatenate([[0], np.searchsorted(self.start, np.arange(most, len(self.buf), most)), [len(self.start)]]))
+        for i, j in zip(edges, edges[1:]):
+            lo, hi = self.start[i], self.end[j - 1]
+            power, back = (np.full(hi - lo + 1, U64(b)) for b in (_BASE, _BASE_INV))
+            power[0] = back[0] = 1
+            power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+            total = np.zeros(hi - lo + 1, U64)
+            np.cumsum((self.buf[lo:hi] + U64(1)) * power[:-1], out=total[1:])
+            start, end = self.start[i:j] - lo, self.end[i:j] - lo
+            out[i:j] = (total[end] - total[start]) * back[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+        return mix(out)
 
     def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every k consecutive words of one text: the first word's index, and a uint64 hash."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
+from .lm_score import lm_scores
 from .packing import pack
 from . import line_dedup, mixing, toxicity
 
@@ -39,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_line_dedup": op8_line_dedup,
     "op10_pack": op10_pack,
 }
@@ -76,4 +82,16 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM m LEFT JOIN s USING (doc_id) GROUP BY doc_id
     """,
+    "op7_lm_score": rf"""
+        WITH w AS (SELECT doc_id, i, x[i] AS w, CASE WHEN i > 1 THEN x[i - 1] END AS v, CASE WHEN i > 2 THEN x[i - 2] END AS u
+                   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
+        c1 AS (SELECT w, count(*) AS n FROM w GROUP BY ALL), c2 AS (SELECT v, w, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL), c3 AS (SELECT u, v, w, count(*) AS n FROM w WHERE u IS NOT NULL GROUP BY ALL),
+        j AS (SELECT t.doc_id, c1.n AS n1, p.n AS p1, c2.n AS n2, q.n AS p2, c3.n AS n3, (SELECT count(*) FROM w) AS total
+              FROM w AS t JOIN c1 ON t.w = c1.w LEFT JOIN c1 AS p ON t.v = p.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w LEFT JOIN c2 AS q ON t.u = q.v AND t.v = q.w LEFT JOIN c3 ON t.u = c3.u AND t.v = c3.v AND t.w = c3.w),
+        s1 AS (SELECT *, log10(n1 / total) AS a FROM j),
+        s2 AS (SELECT *, CASE WHEN n2 IS NULL THEN a WHEN n2 >= 2 THEN log10(n2 / p1) ELSE log10(0.4) + a END AS b FROM s1),
+        s3 AS (SELECT doc_id, CASE WHEN n3 IS NULL THEN b WHEN n3 >= 2 THEN log10(n3 / p2) ELSE log10(0.4) + b END AS c, CASE WHEN n3 IS NOT NULL THEN n3 < 2 WHEN n2 IS NOT NULL THEN n2 < 2 ELSE false END AS backed FROM s2)
+        SELECT d.doc_id, count(c) AS n_words, count(*) FILTER (backed) AS n_backoff, round(coalesce(sum(c), 0), 6) AS log10_score, round(coalesce(avg(c), 0), 6) AS score
+        FROM documents AS d LEFT JOIN s3 ON d.doc_id = s3.doc_id GROUP BY d.doc_id
+    """,
 }
