@@ -50,8 +50,11 @@ def request_rows(chunk: int, keys: np.ndarray, columns: list[np.ndarray], bucket
     return pa.table({"bucket": pa.array([b for b, _, _ in cut], pa.int32()), "chunk": pa.array([chunk] * len(cut), pa.int64()), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
 
 
-def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    """merge(chunk number of each entry, keys, columns) gives arrays aligned with the keys; each chunk gets its parts of them."""
+def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], np.ndarray | None]]) -> DataFrame:
+    """merge(chunk number of each entry, keys, columns) gives arrays aligned with the keys, and which entries to answer (None: all).
+
+    Each chunk gets its parts of the arrays.
+    """
 
     def run(key, t):
         bucket = key[0].as_py()
@@ -59,8 +62,12 @@ def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[n
         parts = [[unpack(x) for x in row] for row in t["blocks"].to_pylist()]
         sizes = [len(p[0]) for p in parts]
         keys, *columns = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
-        out = merge(np.repeat(np.arange(len(parts)), sizes), keys, columns)
+        out, which = merge(np.repeat(np.arange(len(parts)), sizes), keys, columns)
         ends = np.cumsum(sizes)
+        if which is not None:
+            out, counts = [a[which] for a in out], np.concatenate([[0], np.cumsum(which)])
+            sizes = [counts[j] - counts[j - n] for n, j in zip(sizes, ends)]
+            ends = np.cumsum(sizes)
         blocks = [[pack(a[j - n : j]) for a in out] for n, j in zip(sizes, ends)]
         return pa.table({"chunk": t["chunk"], "bucket": pa.array([bucket] * len(parts), pa.int32()), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
 

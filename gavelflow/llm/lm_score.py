@@ -60,7 +60,7 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count:
 
     def merge(chunk, keys, columns):
         _, inverse = np.unique(keys, return_inverse=True)
-        return [np.bincount(inverse, columns[0])[inverse].astype(np.int64)]
+        return [np.bincount(inverse, columns[0])[inverse].astype(np.int64)], None
 
     answer = cut(answers(docs.groupBy("chunk").applyInArrow(request, REQUEST), merge))
     release(docs.sparkSession)

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .lm_score import lm_scores
 from .packing import pack
+from .substring_dedup import substring_dedup
 from . import line_dedup, mixing, toxicity
 
 #: White space and word patterns of the contracts.
@@ -17,6 +18,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -53,6 +58,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
     "op5_license_scan": op5_license_scan,
@@ -94,4 +100,14 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, count(c) AS n_words, count(*) FILTER (backed) AS n_backoff, round(coalesce(sum(c), 0), 6) AS log10_score, round(coalesce(avg(c), 0), 6) AS score
         FROM documents AS d LEFT JOIN s3 ON d.doc_id = s3.doc_id GROUP BY d.doc_id
     """,
+    "op1_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS x FROM documents),
+        w AS (SELECT doc_id, i, array_to_string(x[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(x) - 11)) AS r(i)),
+        f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w JOIN f USING (g), unnest(range(0, 13)) AS o(k) WHERE first < doc_id),
+        a AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(x) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(x, lambda v, i: NOT coalesce(list_contains(gone, i), false)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN a USING (doc_id)
+    """,
 }
