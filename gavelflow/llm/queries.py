@@ -12,6 +12,7 @@ from .lm_score import lm_scores
 from .packing import pack
 from .substring_dedup import substring_dedup
 from . import line_dedup, mixing, toxicity
+from .ann import search
 
 #: White space and word patterns of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
@@ -53,6 +54,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(rows.where("vec_id % 20 = 0"), rows)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_lm_score": op7_lm_score,
     "op8_line_dedup": op8_line_dedup,
+    "op9_nearest": op9_nearest,
     "op10_pack": op10_pack,
 }
 
