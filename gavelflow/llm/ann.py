@@ -84,7 +84,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = 40, sh
     q, r = usable(queries), usable(rows)
     shards, blocks = (max(1, -(-d.count() // n)) for d, n in ((r, shard_rows), (q, block)))
     r = r.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By length of the vectors: ids and vectors."""

@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +173,7 @@ def batches(it, rows: int = 0, most_bytes: int = 6_000_000, column: str = "text"
     """Arrow batches regrouped so that each holds about most_bytes of text (single long texts may exceed it)."""
     for b in it:
         t = pa.Table.from_batches([b]) if isinstance(b, pa.RecordBatch) else b
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(t[column].cast(pa.large_binary())), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(t[column].cast(pa.large_binary())), 0))
         if not len(sizes):
             continue
         part = np.cumsum(sizes) // most_bytes

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .lm_score import lm_scores
+from .near_dedup import classes
 from .packing import pack
 from .substring_dedup import substring_dedup
 from . import line_dedup, mixing, toxicity
@@ -27,6 +28,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_lm_score": op7_lm_score,
