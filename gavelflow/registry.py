@@ -8,3 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from gavelflow.plans import ALL  # noqa: F401
+
+
+load()
