@@ -6,6 +6,8 @@ so the shuffle moves eight bytes an n-gram and no hash decides alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +36,29 @@ def ngrams(words: Column, n: int, whole_if_short: bool = False) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(grams)).when(F.size(words) > 0, short).otherwise(F.array().cast("array<string>"))
 
 
-def gram_table(df: DataFrame, key: str, grams: Column) -> DataFrame:
-    return df.select(key, F.explode(grams).alias("gram"))
+def with_grams(df: DataFrame, words: Callable[[Column], Column], n: int, whole_if_short: bool = False, text: str = "text") -> DataFrame:
+    """df with a column grams. The words are a column of their own first: inside a lambda they would be split again for every n-gram."""
+    return df.withColumn("__words", words(F.col(text))).withColumn("grams", ngrams(F.col("__words"), n, whole_if_short)).drop("__words")
+
+
+def gram_table(df: DataFrame, key: str) -> DataFrame:
+    # explode() would bring a filter on the array's size, which is evaluated below the column of words
+    return df.select(key, F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
 
 
-def leaking(df: DataFrame, key: str, grams: Column, reference: DataFrame) -> DataFrame:
-    """Distinct keys of rows that share an n-gram with reference (column gram)."""
-    own = gram_table(df, key, grams).withColumn("gh", F.xxhash64("gram"))
+def leaking(df: DataFrame, key: str, reference: DataFrame) -> DataFrame:
+    """Distinct keys of rows whose grams share one with reference (column gram)."""
+    own = gram_table(df, key).withColumn("gh", F.xxhash64("gram"))
     return own.join(reference.select("gram", F.xxhash64("gram").alias("gh")).distinct(), ["gh", "gram"], "left_semi").select(key).distinct()
 
 
-def decontaminate(df: DataFrame, key: str, grams: Column, reference: DataFrame) -> DataFrame:
-    return df.join(leaking(df, key, grams, reference), key, "left_anti")
+def decontaminate(df: DataFrame, key: str, reference: DataFrame) -> DataFrame:
+    return df.join(leaking(df, key, reference), key, "left_anti")
 
 
-def decontaminate_groups(df: DataFrame, key: str, group: str, grams: Column, reference: DataFrame) -> DataFrame:
+def decontaminate_groups(df: DataFrame, key: str, group: str, reference: DataFrame) -> DataFrame:
     """Without the whole group as soon as one member leaks."""
-    bad = df.join(leaking(df, key, grams, reference), key, "left_semi").select(group).distinct()
+    bad = df.join(leaking(df, key, reference), key, "left_semi").select(group).distinct()
     return df.join(bad, group, "left_anti")
 
 
@@ -59,8 +67,8 @@ def overlap(queries: DataFrame, states: DataFrame, qkey: str, skey: str) -> Data
 
     Both have a column grams (distinct). Only states that share a gram are met, through an equi-join.
     """
-    q = queries.select(qkey, F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
-    s = states.select(skey, F.size("grams").alias("ns"), F.explode("grams").alias("gram"))
+    q = queries.select(qkey, F.size("grams").alias("nq"), F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
+    s = states.select(skey, F.size("grams").alias("ns"), F.explode_outer("grams").alias("gram")).where(F.col("gram").isNotNull())
     hits = q.join(s, "gram").groupBy(qkey, skey, "nq", "ns").agg(F.count(F.lit(1)).alias("shared"))
     best = Window.partitionBy(qkey).orderBy(F.desc("shared"), skey)
     hits = hits.withColumn("n", F.row_number().over(best)).where("n = 1")

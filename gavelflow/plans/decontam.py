@@ -11,8 +11,12 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reference(spark, sf_dir, words=D.ws_words, n=8):
-    return D.gram_table(_t(spark, sf_dir, "benchmark"), "item_id", D.ngrams(words(F.col("text")), n)).select("gram").distinct()
+def _docs(spark, sf_dir, words=D.ws_words, n=8, whole=False, table="documents", key="doc_id"):
+    return D.with_grams(_t(spark, sf_dir, table).select(key, "text", *(["source"] if table == "documents" else [])), words, n, whole)
+
+
+def _reference(spark, sf_dir):
+    return D.gram_table(_docs(spark, sf_dir, table="benchmark", key="item_id"), "item_id").select("gram").distinct()
 
 
 WS = "list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w <> '')"
@@ -28,24 +32,23 @@ def counts(table, key, words, n):
     return f"SELECT t.{key}, count(gram) AS n FROM {table} t LEFT JOIN ({grams(table, key, words, n)}) g ON t.{key} = g.{key} GROUP BY t.{key}"
 
 
-def _count(words, n=8):
-    return lambda spark, sf: _t(spark, sf, "documents").select("doc_id", F.size(D.ngrams(words(F.col("text")), n)).cast("long").alias("n"))
+def _count(words, n=8, whole=False, table="documents", key="doc_id"):
+    return lambda spark, sf: _docs(spark, sf, words, n, whole, table, key).select(key, F.size("grams").cast("long").alias("n"))
 
 
 LEAK = f"SELECT DISTINCT doc_id FROM ({grams('documents', 'doc_id', WS, 8)}) g JOIN (SELECT DISTINCT gram FROM ({grams('benchmark', 'item_id', WS, 8)})) b ON g.gram = b.gram"
 query("ngram8_ws", _count(D.ws_words), counts("documents", "doc_id", WS, 8))
-query("ngram8_word", lambda spark, sf: _t(spark, sf, "benchmark").select("item_id", F.size(D.ngrams(D.word_words(F.col("text")), 8)).cast("long").alias("n")), counts("benchmark", "item_id", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')", 8))
+query("ngram8_word", _count(D.word_words, table="benchmark", key="item_id"), counts("benchmark", "item_id", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')", 8))
 query("ngram8_punct", _count(D.punct_words), counts("documents", "doc_id", PUNCT, 8))
 query("ngram_reference", lambda spark, sf: _reference(spark, sf), f"SELECT DISTINCT gram FROM ({grams('benchmark', 'item_id', WS, 8)})")
-query("decontam_row", lambda spark, sf: D.decontaminate(_t(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", D.ngrams(D.ws_words(F.col("text")), 8), _reference(spark, sf)).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({LEAK})")
-query("decontam_group", lambda spark, sf: D.decontaminate_groups(_t(spark, sf, "documents").select("doc_id", "text", (F.floor(F.col("doc_id") / 4)).alias("grp")), "doc_id", "grp", D.ngrams(D.ws_words(F.col("text")), 8), _reference(spark, sf)).select("doc_id", "grp"), f"SELECT doc_id, CAST(floor(doc_id / 4) AS bigint) AS grp FROM documents WHERE CAST(floor(doc_id / 4) AS bigint) NOT IN (SELECT CAST(floor(doc_id / 4) AS bigint) FROM ({LEAK}))")
-query("shingle5", lambda spark, sf: _t(spark, sf, "documents").select("doc_id", F.size(D.ngrams(D.alnum_words(F.col("text")), 5, True)).cast("long").alias("n")), f"SELECT doc_id, CASE WHEN len({ALNUM}) BETWEEN 1 AND 4 THEN 1 ELSE n END AS n FROM documents JOIN ({counts('documents', 'doc_id', ALNUM, 5)}) USING (doc_id)")
+query("decontam_row", lambda spark, sf: D.decontaminate(_docs(spark, sf), "doc_id", _reference(spark, sf)).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({LEAK})")
+query("decontam_group", lambda spark, sf: D.decontaminate_groups(_docs(spark, sf).withColumn("grp", F.floor(F.col("doc_id") / 4)), "doc_id", "grp", _reference(spark, sf)).select("doc_id", "grp"), f"SELECT doc_id, CAST(floor(doc_id / 4) AS bigint) AS grp FROM documents WHERE CAST(floor(doc_id / 4) AS bigint) NOT IN (SELECT CAST(floor(doc_id / 4) AS bigint) FROM ({LEAK}))")
+query("shingle5", _count(D.alnum_words, 5, True), f"SELECT doc_id, CASE WHEN len({ALNUM}) BETWEEN 1 AND 4 THEN 1 ELSE n END AS n FROM documents JOIN ({counts('documents', 'doc_id', ALNUM, 5)}) USING (doc_id)")
 
 
 def _overlap(spark, sf):
-    sh = D.ngrams(D.alnum_words(F.col("text")), 5, True)
-    q = _t(spark, sf, "benchmark").select("item_id", sh.alias("grams"))
-    s = _t(spark, sf, "documents").select("doc_id", sh.alias("grams"))
+    q = _docs(spark, sf, D.alnum_words, 5, True, "benchmark", "item_id")
+    s = _docs(spark, sf, D.alnum_words, 5, True)
     return D.overlap(q, s, "item_id", "doc_id").withColumn("flagged", F.col("jaccard") >= 0.8).orderBy(F.desc("jaccard"), "item_id").limit(10)
 
 
