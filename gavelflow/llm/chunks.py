@@ -50,10 +50,10 @@ def request_rows(chunk: int, keys: np.ndarray, columns: list[np.ndarray], bucket
     return pa.table({"bucket": pa.array([b for b, _, _ in cut], pa.int32()), "chunk": pa.array([chunk] * len(cut), pa.int64()), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
 
 
-def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], np.ndarray | None]]) -> DataFrame:
+def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], np.ndarray | None]], from_chunk: int = 0) -> DataFrame:
     """merge(chunk number of each entry, keys, columns) gives arrays aligned with the keys, and which entries to answer (None: all).
 
-    Each chunk gets its parts of the arrays.
+    Each chunk from number from_chunk on gets its parts of the arrays.
     """
 
     def run(key, t):
@@ -68,8 +68,10 @@ def answers(requests: DataFrame, merge: Callable[[np.ndarray, np.ndarray, list[n
             out, counts = [a[which] for a in out], np.concatenate([[0], np.cumsum(which)])
             sizes = [counts[j] - counts[j - n] for n, j in zip(sizes, ends)]
             ends = np.cumsum(sizes)
-        blocks = [[pack(a[j - n : j]) for a in out] for n, j in zip(sizes, ends)]
-        return pa.table({"chunk": t["chunk"], "bucket": pa.array([bucket] * len(parts), pa.int32()), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
+        chunks = t["chunk"].to_pylist()
+        blocks = [[pack(a[j - n : j]) for a in out] for n, j, c in zip(sizes, ends, chunks) if c >= from_chunk]
+        chunks = [c for c in chunks if c >= from_chunk]
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "blocks": pa.array(blocks, pa.list_(pa.binary()))})
 
     return requests.groupBy("bucket").applyInArrow(run, ANSWER)
 

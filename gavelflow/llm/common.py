@@ -40,7 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table behind a result of cut() that nothing reads any more."""
+    drop_files(df.sparkSession, df.cut_path)
 
 
 def drop_files(spark: SparkSession, path: str) -> None:

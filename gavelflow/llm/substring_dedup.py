@@ -7,7 +7,7 @@ an equal fingerprint and only about a fifth of all positions are stored. A new
 batch of documents is made into a run and merge-joined, bucket by bucket, with
 the runs before it. The windows around fingerprints that two documents share
 are then read again from the texts of both sides and compared: by a 64-bit
-hash and 64 bits of a BLAKE2 digest of their very bytes. What starts in a
+hash and 32 bits of a BLAKE2 digest of their very bytes. What starts in a
 document with a smaller doc_id is removed from the later one. When there are
 ``fanout`` runs they are compacted into one.
 
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ANSWER, REQUEST, answers, chunked, n_buckets, n_chunks, read_answer, request_rows, text_bytes
-from .common import U64, Texts, cut, drop_files, mix, release, shared_dir
+from .chunks import REQUEST, answers, chunked, n_buckets, n_chunks, read_answer, request_rows, text_bytes
+from .common import U64, Texts, cut, drop_cut, drop_files, release, shared_dir
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 NULL_ID = -(1 << 63)
@@ -59,12 +59,12 @@ class Windows:
         self.spot_mark, self.spot_doc = grams[self.spots], self.ids[self.texts.doc[self.spots]]
 
     def digests(self, which: np.ndarray) -> np.ndarray:
-        """64 bits of the BLAKE2 digest of each window's bytes, words joined by a space."""
+        """32 bits of the BLAKE2 digest of each window's bytes, words joined by a space."""
         out, begin = self.texts.joined()
         data = memoryview(out.tobytes())
         lo, hi = begin[self.at[which]].tolist(), (begin[self.at[which] + self.window] - 1).tolist()
-        d = b"".join(hashlib.blake2b(data[i:j], digest_size=8).digest() for i, j in zip(lo, hi))
-        return np.frombuffer(d, U64)
+        d = b"".join(hashlib.blake2b(data[i:j], digest_size=4).digest() for i, j in zip(lo, hi))
+        return np.frombuffer(d, np.uint32)
 
 
 def _first(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def shared_fingerprints(runs: DataFrame) -> DataFrame:
     return answers(runs, merge)
 
 
-def first_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
+def first_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: int, gram: int, from_chunk: int) -> DataFrame:
     """Of the windows around shared fingerprints the first document, answered to every chunk that has them."""
 
     def run(t, answer):
@@ -156,7 +156,7 @@ def first_windows(docs: DataFrame, shared: DataFrame, buckets: int, window: int,
         out[order], known[order] = first, more[group]
         return [keys, digests, out], known
 
-    return answers(docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, REQUEST), merge)
+    return answers(docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, REQUEST), merge, from_chunk)
 
 
 def removals(docs: DataFrame, first: DataFrame, window: int, gram: int) -> DataFrame:
@@ -213,13 +213,14 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, batches: i
         so_far = part
         for earlier in parts[:i]:
             so_far = so_far.unionByName(earlier)
-        first = cut(first_windows(so_far, shared, buckets, window, gram))
+        first = cut(first_windows(so_far, shared, buckets, window, gram, i * chunks))
+        drop_cut(shared)
         release(spark)
-        done = cut(removals(part, first.where(F.col("chunk") >= i * chunks), window, gram))
+        done = cut(removals(part, first, window, gram))
+        drop_cut(first)
         release(spark)
         out = done if out is None else out.unionByName(done)
         index.compact()
     return out
 
 
-__all__ = ["ANSWER", "Index", "substring_dedup"]
