@@ -185,7 +185,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t["ad"], t["ah"], t["bd"], t["bh"], pa.array(ok, pa.bool_())], names=["ad", "ah", "bd", "bh", "linked"])
 
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("d").alias(f"{side}d"), F.col("h").alias(f"{side}h"), F.col("text").alias(f"{side}t")), [f"{side}d", f"{side}h"])
+        pairs = pairs.join(texts.select(F.col("d").alias(f"{side}d"), F.col("h").alias(f"{side}h"), F.col("text").alias(f"{side}t")).hint("merge"), [f"{side}d", f"{side}h"])
     return pairs.select("ad", "ah", "bd", "bh", "at", "bt").mapInArrow(run, LINK)
 
 
@@ -258,7 +258,8 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, b
     pairs = pairs.select(F.col("lead.d").alias("ad"), F.col("lead.h").alias("ah"), F.col("d").alias("bd"), F.col("h").alias("bh")).distinct()
     pairs = cut(pairs)
     used = pairs.select("ad", "ah").union(pairs.select("bd", "bh")).toDF("d", "h").distinct()
-    texts = cut(_identified(docs).join(used, ["d", "h"]).dropDuplicates(["d", "h"]))
+    # tables that grow with the corpus are met by sorting at every size, not broadcast while they happen to be small
+    texts = cut(_identified(docs).join(used.hint("merge"), ["d", "h"]).dropDuplicates(["d", "h"]))
     release(spark)
     done = cut(verify(pairs, texts, similarity))
     release(spark)
@@ -285,7 +286,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 16) -> Dat
     """doc_id, class_id (smallest doc_id of the class), class_size, kept: a row for each row of docs."""
     c = near_classes(docs, similarity, sketches)
     rows = _identified(docs).select("d", "h").join(c, ["d", "h"])
-    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
+    sizes = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("class_size")))
     real = lambda x: F.when(F.col(x) != NULL_ID, F.col(x))
     return rows.join(sizes, "root").select(real("d").alias("doc_id"), real("root.d").alias("class_id"), "class_size", (F.col("root") == _id()).alias("kept"))
 
