@@ -109,7 +109,7 @@ class Duck(Spark):
         return f"len({x})"
 
     def epoch(self, x):
-        return f"cast(epoch({x}) AS bigint)"
+        return f"cast(floor(epoch({x})) AS bigint)"
 
 
 SPARK, DUCK = Spark(), Duck()
