@@ -1,10 +1,12 @@
 """Language-model scores by stupid backoff over counts of the whole corpus.
 
-Counts of all n-grams up to ``order`` are gathered in tables partitioned by
-hash and joined back to the n-grams of every document; the logarithms of the
+Counts of the n-grams of each order are gathered in a table partitioned by hash
+and joined back to the n-grams of every document; the logarithms of the
 relative frequencies are summed per document. Both the counting and the join
 go through blocks of sorted distinct hashes, one block for each chunk of
 documents and hash bucket: what is common is combined before it is shuffled.
+Orders follow each other, and an n-gram is only counted if both n-grams one
+word shorter occur ``min_count`` times, as no other can occur so often itself.
 
 An n-gram of two words or more counts as seen if it occurs ``min_count`` times
 in the corpus; otherwise the score backs off to the shorter context, times
@@ -23,7 +25,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chunks import REQUEST, answers, chunked, n_buckets, n_chunks, read_answer, request_rows, text_bytes
 from .common import U64, Texts, cut, mix, release
@@ -31,15 +35,38 @@ from .common import U64, Texts, cut, mix, release
 OUT = "doc_id long, n_words long, n_backoff long, log10_score double, score double"
 
 
-def _grams(texts: Texts, order: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each n up to order: of the n-grams the index of the first word, and the hash."""
-    words = texts.hashes()
-    at, keys = [], []
-    for n in range(1, order + 1):
-        i, h = texts.grams(words, n)
-        at.append(i)
-        keys.append((mix(h + U64(n)) >> U64(64 - bits)) | U64(1))  # 0 stands for the number of words
-    return at, keys
+class Counts:
+    """The n-grams of a chunk, order by order, as far as answers from the buckets go.
+
+    seen[n - 1]: by position of the first word the corpus count of the n-gram
+    there; 0 where it was not counted. unique and counts: the sorted distinct
+    hashes of the order that comes next, for which the buckets are asked.
+    """
+
+    def __init__(self, texts: Texts, answers: list[np.ndarray], min_count: int, bits: int):
+        words, self.seen, self.total = texts.hashes(), [], 0
+        for n in range(1, len(answers) + 2):
+            at, h = texts.grams(words, n)
+            if n > 1:
+                ok = (self.seen[-1][at] >= min_count) & (self.seen[-1][np.minimum(at + 1, len(words) - 1)] >= min_count)
+                at, h = at[ok], h[ok]
+            keys = (mix(h) >> U64(64 - bits)) | U64(1)  # 0 stands for the number of words
+            self.unique, inverse, counts = np.unique(np.concatenate([np.zeros(1, U64), keys]), return_inverse=True, return_counts=True)
+            counts[0] = len(words)
+            self.counts = counts.astype(np.uint32)
+            if n > len(answers):
+                return
+            answer = answers[n - 1]
+            if len(answer) != len(self.unique):
+                raise RuntimeError("an answer does not fit its chunk")
+            seen = np.zeros(len(words), np.int64)
+            seen[at] = answer[inverse[1:]]
+            self.total = int(answer[0])
+            self.seen.append(seen)
+
+
+def _by_order(answer: pa.Table, orders: int) -> list[np.ndarray]:
+    return [read_answer(answer.filter(pc.equal(answer["n"], n)))[0] for n in range(1, orders + 1)]
 
 
 def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2) -> DataFrame:
@@ -48,50 +75,48 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count:
     bits = min(64, int(np.ceil(np.log2(max(2, size / 6)))) + 25)
     docs = chunked(docs, chunks)
 
-    def own(texts: Texts):
-        at, keys = _grams(texts, order, bits)
-        unique, inverse, counts = np.unique(np.concatenate([np.zeros(1, U64), *keys]), return_inverse=True, return_counts=True)
-        counts[0] = len(texts.start)
-        return at, unique, np.split(inverse[1:], np.cumsum([len(k) for k in keys])[:-1]), counts.astype(np.uint32)
-
-    def request(key, t):
-        _, unique, _, counts = own(Texts(t["text"]))
-        return request_rows(key[0].as_py(), unique, [counts], buckets, bits)
-
     def merge(chunk, keys, columns):
         _, inverse = np.unique(keys, return_inverse=True)
         return [np.bincount(inverse, columns[0])[inverse].astype(np.int64)], None
 
-    answer = cut(answers(docs.groupBy("chunk").applyInArrow(request, REQUEST), merge))
-    release(docs.sparkSession)
+    def first_request(key, t):
+        c = Counts(Texts(t["text"]), [], min_count, bits)
+        return request_rows(key[0].as_py(), c.unique, [c.counts], buckets, bits)
+
+    def request(orders: int):
+        def run(t, answer):
+            if not t.num_rows:
+                return request_rows(0, np.zeros(0, U64), [np.zeros(0, np.uint32)], buckets, bits)
+            c = Counts(Texts(t["text"]), _by_order(answer, orders), min_count, bits)
+            return request_rows(t["chunk"][0].as_py(), c.unique, [c.counts], buckets, bits)
+
+        return run
+
+    answer = None
+    for n in range(1, order + 1):
+        by_chunk = docs.groupBy("chunk")
+        asked = by_chunk.applyInArrow(first_request, REQUEST) if answer is None else by_chunk.cogroup(answer.groupBy("chunk")).applyInArrow(request(n - 1), REQUEST)
+        got = cut(answers(asked, merge).withColumn("n", F.lit(n)))
+        answer = got if answer is None else answer.unionByName(got)
+        release(docs.sparkSession)
 
     def score(t, answer):
         if not t.num_rows:
             return pa.table({k: pa.array([], v) for k, v in zip(("doc_id", "n_words", "n_backoff", "log10_score", "score"), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
         texts = Texts(t["text"])
-        at, unique, inverse, _ = own(texts)
-        (total,) = read_answer(answer)
-        assert len(total) == len(unique)
-        seen = [total[i] for i in inverse]  # by n: of each n-gram its count in the corpus
-        n = len(texts.start)
-        out = np.log10(seen[0] / total[0]) if n else np.zeros(0)
-        before = np.zeros(n, np.int64)  # count of the context of n - 1 words that ends before each word
-        before[1:] = seen[0][:-1]
-        best, backed = out, np.zeros(n, bool)
+        c = Counts(texts, _by_order(answer, order), min_count, bits)
+        n, place = len(texts.start), np.arange(len(texts.start)) - texts.first[texts.doc]
+        best, backed = np.log10(np.maximum(1, c.seen[0]) / max(1, c.total)), np.zeros(n, bool)
         for k in range(2, order + 1):
-            last = at[k - 1] + k - 1
-            ok = seen[k - 1] >= min_count
-            best, backed = best.copy(), backed.copy()
-            best[last] = np.where(ok, np.log10(np.maximum(1, seen[k - 1]) / np.maximum(1, before[last])), np.log10(backoff) + best[last])
+            last = np.flatnonzero(place >= k - 1)  # words with a context of k - 1 words
+            seen, context = c.seen[k - 1][last - k + 1], c.seen[k - 2][last - k + 1]
+            ok = seen >= min_count
+            best[last] = np.where(ok, np.log10(np.maximum(1, seen) / np.maximum(1, context)), np.log10(backoff) + best[last])
             backed[last] = ~ok
-            nxt = np.zeros(n, np.int64)
-            nxt[last[last + 1 < n] + 1] = seen[k - 1][last + 1 < n]
-            before = nxt
-        sums = np.bincount(texts.doc, best, minlength=texts.n)[: texts.n]
-        words = texts.n_words[: texts.n]
+        sums = np.bincount(texts.doc, best, minlength=texts.n)
         return pa.table({
-            "doc_id": t["doc_id"], "n_words": pa.array(words.astype(np.int64)), "n_backoff": pa.array(np.bincount(texts.doc, backed, minlength=texts.n).astype(np.int64)),
-            "log10_score": pa.array(np.round(sums, 6)), "score": pa.array(np.round(sums / np.maximum(1, words), 6)),
+            "doc_id": t["doc_id"], "n_words": pa.array(texts.n_words.astype(np.int64)), "n_backoff": pa.array(np.bincount(texts.doc, backed, minlength=texts.n).astype(np.int64)),
+            "log10_score": pa.array(np.round(sums, 6)), "score": pa.array(np.round(sums / np.maximum(1, texts.n_words), 6)),
         })
 
     return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInArrow(score, OUT)
