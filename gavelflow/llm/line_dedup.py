@@ -32,7 +32,7 @@ AT = ["d", "h", "i"]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__h", F.xxhash64("text"))
+    return docs.withColumn("_gf_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_gf_h", F.xxhash64("text"))
 
 
 def lines(text: Column) -> Column:
@@ -49,7 +49,7 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """Positions (d, h, i) at which a run of min_run lines starts that also starts earlier."""
     text = _keys(docs.select("doc_id", "text"))
-    rows = text.select(F.col("__d").alias("d"), F.col("__h").alias("h"), F.posexplode(lines(F.col("text"))).alias("i", "line"))
+    rows = text.select(F.col("_gf_d").alias("d"), F.col("_gf_h").alias("h"), F.posexplode(lines(F.col("text"))).alias("i", "line"))
     found = ranked(rows.select(*AT, F.unhex(F.md5("line")).alias("a")), ["a"])
     found = found.groupBy(*AT).agg(F.min("rank").alias("rank"), F.min("first").alias("first"))  # rows equal in doc_id and text are one
     size = 1
@@ -63,19 +63,20 @@ def repeated_runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
 
 
 def with_deleted(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """docs with __deleted: the sorted indices of the lines that go."""
+    """docs with _gf_deleted: the sorted indices of the lines that go."""
     starts = repeated_runs(docs, min_run)
-    gone = starts.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", F.col("i") + (min_run - 1)))))).alias("__deleted"))
+    gone = starts.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("i", F.col("i") + (min_run - 1)))))).alias("_gf_deleted"))
+    gone = gone.withColumnsRenamed({"d": "_gf_gd", "h": "_gf_gh"})
     keyed = _keys(docs)
-    out = keyed.join(gone, (F.col("__d") == F.col("d")) & (F.col("__h") == F.col("h")), "left")
-    return out.select(*[docs[c] for c in docs.columns], F.coalesce("__deleted", F.array().cast("array<int>")).alias("__deleted"))
+    out = keyed.join(gone, (F.col("_gf_d") == F.col("_gf_gd")) & (F.col("_gf_h") == F.col("_gf_gh")), "left")
+    return out.select(*docs.columns, F.coalesce("_gf_deleted", F.array().cast("array<int>")).alias("_gf_deleted"))
 
 
 def kept_text() -> Column:
-    """The text without the lines in __deleted; only rows that lose lines are taken apart."""
+    """The text without the lines in _gf_deleted; only rows that lose lines are taken apart."""
     all_lines = lines(F.col("text"))
-    rest = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__deleted"))
-    return F.when(F.size("__deleted") == 0, F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(all_lines, i)), "\n"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gf_deleted"))
+    return F.when(F.size("_gf_deleted") == 0, F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(all_lines, i)), "\n"))
 
 
 def clean(docs: DataFrame, min_run: int = 2) -> DataFrame:
@@ -85,7 +86,7 @@ def clean(docs: DataFrame, min_run: int = 2) -> DataFrame:
 
 def report(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """A row for each row of docs: lines, deleted lines, maximal deleted runs, the longest of them, digest of what is kept."""
-    gone = F.col("__deleted")
+    gone = F.col("_gf_deleted")
     out = with_deleted(docs.select("doc_id", "text"), min_run)
     runs = F.aggregate(
         gone,

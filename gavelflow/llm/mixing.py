@@ -89,7 +89,7 @@ def few(table: DataFrame, most: int = 100_000) -> DataFrame:
 
 def place(epoch: Column | str, seed: int) -> Column:
     """Where a row stands in a pass: a signed 64-bit hash; rows equal in doc_id and text stand together."""
-    return F.xxhash64(F.lit(seed), epoch, "__id", "__h")
+    return F.xxhash64(F.lit(seed), epoch, "_gf_id", "_gf_h")
 
 
 def n_passes() -> Column:
@@ -98,38 +98,38 @@ def n_passes() -> Column:
 
 
 def passes(docs: DataFrame, sources: DataFrame, seed: int = 42, source: str = "source", bucket_rows: int = 500) -> DataFrame:
-    """A row for each draw: __id, __src, __epoch, __u, __tokens, __before (tokens before it in its pass). No texts are shuffled."""
-    d = docs.select(F.col("doc_id").alias("__id"), F.col(source).alias("__src"), F.xxhash64("text").alias("__h"), tokens(F.col("text")).alias("__tokens"))
-    s = sources.select("src", F.col("tokens").alias("__all"), F.col("target").alias("__target"), n_passes().alias("__n"), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).alias("__buckets"))
-    d = d.join(few(s), F.col("__src").eqNullSafe(F.col("src"))).drop("src").where("__n > 0")
-    d = d.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumn("__u", place("__epoch", seed))
-    d = d.withColumn("__bucket", F.floor((F.col("__u").cast("double") / 2.0**64 + 0.5) * F.col("__buckets")))
+    """A row for each draw: _gf_id, _gf_src, _gf_epoch, _gf_u, _gf_tokens, _gf_before (tokens before it in its pass). No texts are shuffled."""
+    d = docs.select(F.col("doc_id").alias("_gf_id"), F.col(source).alias("_gf_src"), F.xxhash64("text").alias("_gf_h"), tokens(F.col("text")).alias("_gf_tokens"))
+    s = sources.select("src", F.col("tokens").alias("_gf_all"), F.col("target").alias("_gf_target"), n_passes().alias("_gf_n"), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).alias("_gf_buckets"))
+    d = d.join(few(s), F.col("_gf_src").eqNullSafe(F.col("src"))).drop("src").where("_gf_n > 0")
+    d = d.withColumn("_gf_epoch", F.explode(F.sequence(F.lit(0), F.col("_gf_n") - 1))).withColumn("_gf_u", place("_gf_epoch", seed))
+    d = d.withColumn("_gf_bucket", F.floor((F.col("_gf_u").cast("double") / 2.0**64 + 0.5) * F.col("_gf_buckets")))
     # a null source gets a key of its own, so plain equality holds in what follows
-    d = d.withColumn("__s", F.struct(F.col("__src").isNull().alias("none"), F.coalesce(F.col("__src").cast("string"), F.lit("")).alias("name")))
-    key = ["__s", "__epoch", "__bucket"]
-    totals = d.groupBy(*key).agg(F.sum("__tokens").alias("__sum"))
-    totals = totals.withColumn("__base", F.sum("__sum").over(Window.partitionBy("__s", "__epoch").orderBy("__bucket")) - F.col("__sum")).drop("__sum")
-    inside = Window.partitionBy(*key).orderBy("__u", "__id", "__tokens").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__before", F.sum("__tokens").over(inside) - F.col("__tokens")).join(totals, key)
-    d = d.withColumn("__before", F.col("__before") + F.col("__base"))
-    left = F.col("__target") - F.col("__epoch") * F.col("__all")
-    return d.where((F.col("__all") == 0) | (left > F.col("__all") - 0.5) | (F.col("__before") < left)).select("__id", "__src", "__epoch", "__u", "__tokens", "__before")
+    d = d.withColumn("_gf_s", F.struct(F.col("_gf_src").isNull().alias("none"), F.coalesce(F.col("_gf_src").cast("string"), F.lit("")).alias("name")))
+    key = ["_gf_s", "_gf_epoch", "_gf_bucket"]
+    totals = d.groupBy(*key).agg(F.sum("_gf_tokens").alias("_gf_sum"))
+    totals = totals.withColumn("_gf_base", F.sum("_gf_sum").over(Window.partitionBy("_gf_s", "_gf_epoch").orderBy("_gf_bucket")) - F.col("_gf_sum")).drop("_gf_sum")
+    inside = Window.partitionBy(*key).orderBy("_gf_u", "_gf_id", "_gf_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_gf_before", F.sum("_gf_tokens").over(inside) - F.col("_gf_tokens")).join(totals, key)
+    d = d.withColumn("_gf_before", F.col("_gf_before") + F.col("_gf_base"))
+    left = F.col("_gf_target") - F.col("_gf_epoch") * F.col("_gf_all")
+    return d.where((F.col("_gf_all") == 0) | (left > F.col("_gf_all") - 0.5) | (F.col("_gf_before") < left)).select("_gf_id", "_gf_src", "_gf_epoch", "_gf_u", "_gf_tokens", "_gf_before")
 
 
 def mix(docs: DataFrame, entropy: float = 0.95, repeats: float = 2.0, budget: int | None = None, seed: int = 42, block_tokens: int = 1_000_000, source: str = "source") -> DataFrame:
     """doc_id, source, epoch, block, before (tokens before it in its pass), tokens, weight of its source: a row for each draw."""
     s = source_table(docs, source)
     s = plan(s, exponent(s, entropy, repeats), budget)
-    d = passes(docs, s, seed, source).join(few(s.select("src", F.round("weight", 9).alias("weight"))), F.col("__src").eqNullSafe(F.col("src")))
-    return d.select(F.col("__id").alias("doc_id"), F.col("__src").alias("source"), F.col("__epoch").alias("epoch"), F.floor(F.col("__before") / block_tokens).cast("long").alias("block"), F.col("__before").alias("before"), F.col("__tokens").alias("tokens"), "weight")
+    d = passes(docs, s, seed, source).join(few(s.select("src", F.round("weight", 9).alias("weight"))), F.col("_gf_src").eqNullSafe(F.col("src")))
+    return d.select(F.col("_gf_id").alias("doc_id"), F.col("_gf_src").alias("source"), F.col("_gf_epoch").alias("epoch"), F.floor(F.col("_gf_before") / block_tokens).cast("long").alias("block"), F.col("_gf_before").alias("before"), F.col("_gf_tokens").alias("tokens"), "weight")
 
 
 def mixed(docs: DataFrame, entropy: float = 0.95, repeats: float = 2.0, budget: int | None = None, seed: int = 42, source: str = "source") -> DataFrame:
     """The drawn rows with the columns of docs. Of a pass only the hash at which it ends is needed, so texts stay where they are."""
     s = source_table(docs, source)
     s = plan(s, exponent(s, entropy, repeats), budget)
-    ends = passes(docs, s, seed, source).groupBy("__src").agg(F.max(F.struct("__epoch", "__u")).alias("__end"))
-    d = docs.withColumn("__id", F.col("doc_id")).withColumn("__h", F.xxhash64("text"))
-    d = d.join(few(cut(ends)), F.col(source).eqNullSafe(F.col("__src")))
-    d = d.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__end.__epoch"))))
-    return d.where((F.col("__epoch") < F.col("__end.__epoch")) | (place("__epoch", seed) <= F.col("__end.__u"))).select(*docs.columns)
+    ends = passes(docs, s, seed, source).groupBy("_gf_src").agg(F.max(F.struct("_gf_epoch", "_gf_u")).alias("_gf_end"))
+    d = docs.withColumn("_gf_id", F.col("doc_id")).withColumn("_gf_h", F.xxhash64("text"))
+    d = d.join(few(cut(ends)), F.col(source).eqNullSafe(F.col("_gf_src")))
+    d = d.withColumn("_gf_epoch", F.explode(F.sequence(F.lit(0), F.col("_gf_end._gf_epoch"))))
+    return d.where((F.col("_gf_epoch") < F.col("_gf_end._gf_epoch")) | (place("_gf_epoch", seed) <= F.col("_gf_end._gf_u"))).select(*docs.columns)

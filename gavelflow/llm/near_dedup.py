@@ -293,7 +293,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 16) -> Dat
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, sketches: int = 16) -> DataFrame:
     """The rows of docs that are the first of their class, once each, with all columns."""
-    c = near_classes(docs, similarity, sketches).where(F.col("root") == _id()).select("d", "h")
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__h", F.xxhash64("text"))
-    kept = keyed.join(c, (F.col("__d") == F.col("d")) & (F.col("__h") == F.col("h")), "left_semi")
-    return kept.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    c = near_classes(docs, similarity, sketches).where(F.col("root") == _id()).select(F.col("d").alias("_gf_cd"), F.col("h").alias("_gf_ch"))
+    keyed = docs.withColumn("_gf_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_gf_h", F.xxhash64("text"))
+    kept = keyed.join(c, (F.col("_gf_d") == F.col("_gf_cd")) & (F.col("_gf_h") == F.col("_gf_ch")), "left_semi")
+    return kept.dropDuplicates(["_gf_d", "_gf_h"]).select(*docs.columns)

@@ -152,7 +152,7 @@ def learn_lexicon(rows: list[tuple[str, int]], most: int = 64, least_share: floa
     for _ in range(most):
         t, c = (np.bincount(entry_ids, x[word_ids], len(entries)) for x in (toxic, clean))
         rate = (t + 0.5) / (t + c + 1)
-        gain = np.where(rate > 4 * share, t * np.log(rate / share) + c * np.log((1 - rate) / (1 - share)), 0)
+        gain = np.where(rate * (1 - share) > 6 * share * (1 - rate), t * np.log(rate / share) + c * np.log((1 - rate) / (1 - share)), 0)
         for k in np.argsort(-gain * prefer)[:50]:
             own = word_ids[entry_ids == k]
             if gain[k] >= 8 and len(set().union(*(texts.get(words[i], ()) for i in own))) >= max(3, least_share * n_toxic):
