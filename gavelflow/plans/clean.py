@@ -1,6 +1,10 @@
 """Normalisation, filters, keys, dedup and contamination on the pair relation."""
 
-from .base import sql
+from pyspark.sql import functions as F
+
+from gavelflow.sources.readers import resolve_columns
+
+from .base import query, sql
 
 #: Label vocabularies.
 LABELS = "CASE lower(trim({0})) WHEN 'contradiction' THEN 0 WHEN 'refutes' THEN 0 WHEN '0' THEN 0 WHEN 'entailment' THEN 1 WHEN 'supports' THEN 1 WHEN '1' THEN 1 WHEN 'neutral' THEN 2 WHEN 'not enough info' THEN 2 WHEN '2' THEN 2 END"
@@ -35,12 +39,13 @@ sql("banned_split", lambda d: "SELECT u.repo, u.split, b.repo IS NOT NULL AS ban
 sql("review_filter", lambda d: "SELECT sample FROM verdict WHERE NOT coalesce(status <> 'ok', false)")
 sql("image_path_rewrite", lambda d: f"SELECT id, concat('images/', {d.rx('p', '^.*images/', '')}) AS path FROM (VALUES (1, 'a.png'), (2, '/data/images/b.png'), (3, 'x/images/y/images/c.png')) AS t(id, p)")
 sql("text_only_filter", lambda d: "SELECT page_id FROM pages WHERE html NOT LIKE '%<img%'")
-sql("sanitize_delims", lambda d: "SELECT id, replace(replace(replace(x, '<<', '< <'), '>>', '> >'), '||', '| |') AS x FROM (VALUES (1, 'a<<b>>'), (2, 'c||d'), (3, 'plain')) AS t(id, x)")
+#: The prompt boundaries that a text must not contain as such.
+sql("sanitize_delims", lambda d: "SELECT doc_id, replace(replace(replace(text, concat(chr(10), 'Prediction:'), concat(chr(10), ' Prediction:')), 'Reference answer:', concat('Reference answer', chr(92), ':')), 'Candidate answer:', concat('Candidate answer', chr(92), ':')) AS x FROM (SELECT doc_id, concat(substr(text, 1, 40), chr(10), 'Prediction: 1 Reference answer: 2 Candidate answer: 3') AS text FROM documents) AS t")
 sql("validate_decision", lambda d: f"""SELECT id, CASE WHEN count(*) > 20 THEN 'too many options' WHEN count(DISTINCT v) < count(*) THEN 'duplicate options' WHEN min(gold) >= count(*) THEN 'gold out of range' ELSE 'ok' END AS reason,
     max(CASE WHEN i = gold THEN chr(CAST(65 + i AS int)) END) AS gold_key FROM {DECISIONS} {d.explode(d.split('opts', '[|]'))} GROUP BY id""")
 sql("dup_texts", lambda d: f"SELECT id, v AS text FROM {DECISIONS} {d.explode(d.split('opts', '[|]'))} GROUP BY id, v HAVING count(*) > 1")
 sql("length_predicate", lambda d: "SELECT id FROM pair WHERE length(premise) >= 50 AND lower(hypothesis) LIKE '%license%'")
-sql("detect_columns", lambda d: "SELECT doc_id AS premise_id, text AS premise, source AS hypothesis FROM documents WHERE doc_id < 1000000000")
+query("detect_columns", lambda spark, sf: resolve_columns(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").alias("Context"), F.col("source").alias("CLAIM"), F.col("n_chars").alias("Label"), "doc_id")), "SELECT text AS premise, source AS hypothesis, n_chars AS label, doc_id FROM documents")
 
 # keys
 KEYS = {

@@ -35,14 +35,14 @@ for _name, (_from, _premise) in MC.items():
         FROM {f} {d.explode(d.split('opts', '[|]'))} WHERE opts <> '' AND gold >= 0 AND gold < {d.size(d.split('opts', '[|]'))}""")
 sql("conv_aqua", lambda d: f"SELECT id, i, {d.rx('v', '^[A-E][):] *', '')} AS hypothesis, CASE WHEN i = ascii(gold) - 65 THEN 1 ELSE 0 END AS label FROM {rows('t', 'id, opts, gold', chr(40) + chr(39) + 'u1' + chr(39) + ', ' + chr(39) + 'A)21|B)30|C) 4' + chr(39) + ', ' + chr(39) + 'B' + chr(39) + ')')} {d.explode(d.split('opts', '[|]'))}")
 sql("conv_prometheus", lambda d: "SELECT id, CASE WHEN s >= 4 THEN 1 WHEN s <= 2 THEN 0 ELSE 2 END AS label FROM (SELECT id, try_cast(score AS int) AS s FROM (VALUES (1, '5'), (2, '3'), (3, '1'), (4, 'x')) AS t(id, score)) AS u WHERE s IS NOT NULL")
-sql("conv_helpsteer", lambda d: "SELECT * FROM (SELECT id, CASE WHEN correctness >= 3 AND coherence >= 3 THEN 1 WHEN correctness <= 1 THEN 0 WHEN correctness = 2 THEN 2 END AS label FROM (VALUES (1, 4, 4), (2, 0, 4), (3, 2, 1), (4, 3, 1)) AS t(id, correctness, coherence)) AS u WHERE label IS NOT NULL")
+sql("conv_helpsteer", lambda d: "SELECT * FROM (SELECT id, CASE WHEN correctness < 0 THEN NULL WHEN correctness >= 4 AND coherence >= 4 THEN 1 WHEN coherence >= 3 AND correctness <= 1 THEN 0 WHEN correctness IN (2, 3) THEN 2 END AS label FROM (VALUES (1, 4, 4), (2, 0, 4), (3, 2, 1), (4, 3, 4), (5, 4, 2), (6, -1, 4), (7, 1, 2)) AS t(id, correctness, coherence)) AS u WHERE label IS NOT NULL")
 P = "round(greatest(0e0, least(1e0, soft * 10)), 4)"
 sql("typed_noul", lambda d: f"SELECT ord, part, v AS option_, CASE WHEN v = 'yes' THEN {P} ELSE round(1 - {P}, 4) END AS prob FROM grouped {d.explode(d.arr(chr(39) + 'yes' + chr(39), chr(39) + 'no' + chr(39)))} WHERE group_id <= 2000")
 sql("typed_choice", lambda d: "SELECT group_id, part, is_gold, CASE WHEN is_gold = 1 THEN 0.95e0 ELSE round(0.05e0 / (kk - 1), 4) END AS prob FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS kk, row_number() OVER (PARTITION BY group_id, is_gold ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t WHERE kk > 1 AND (is_gold = 1 OR r <= 2)")
 sql("typed_score", lambda d: "SELECT group_id, part, k FROM (SELECT *, max(CASE WHEN is_gold = 1 THEN k END) OVER (PARTITION BY group_id) AS g FROM grouped) AS t WHERE abs(k - g) <= 1")
 sql("typed_ingest", lambda d: "SELECT group_id, count(*) AS options FROM grouped WHERE group_id <= 500 GROUP BY group_id ORDER BY group_id LIMIT 100")
 sql("state_premise", lambda d: f"SELECT event_id, coalesce({d.json('props', 'k')}, props) AS premise FROM events")
-sql("format_state", lambda d: "SELECT doc_id, concat('Source: ', source, chr(10), 'Lang: ', lang) AS state FROM documents WHERE source <> '' AND lang <> ''")
+sql("format_state", lambda d: "SELECT doc_id, concat('Source: ', trim(source), chr(10), chr(10), 'Doc lang: ', trim(lang)) AS state FROM documents WHERE source <> '' AND lang <> ''")
 sql("decision_from_dict", lambda d: f"SELECT id, i, chr(CAST(65 + i AS int)) AS key, v AS text FROM {rows('t', 'id, opts', chr(40) + '1, ' + chr(39) + 'red|green|blue' + chr(39) + ')')} {d.explode(d.split('opts', '[|]'))}")
 SLOT = "(SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped WHERE group_id <= 3000) AS g"
 sql("cyclic_permutations", lambda d: f"SELECT group_id, i AS shift, (slot - i + kk) % kk AS position, part, is_gold, chr(CAST(65 + (slot - i + kk) % kk AS int)) AS key FROM {SLOT} CROSS JOIN {d.seq(20)} AS s WHERE i < kk")
@@ -72,8 +72,25 @@ def haystack(d, n, extra="1 = 1"):
 sql("haystack", lambda d: haystack(d, 8))
 sql("haystack_simple", lambda d: haystack(d, 15, "id % 10 >= 3"))
 sql("haystack_bucketed", lambda d: haystack(d, 20, "id % 3 = 0"))
-sql("corrupt_numeric", lambda d: f"SELECT id, CASE WHEN n IS NOT NULL THEN concat(CAST(n + 10 AS bigint), ' units') WHEN x LIKE '%always%' THEN replace(x, 'always', 'never') ELSE concat('It is not the case that ', x) END AS x FROM (SELECT id, x, try_cast(nullif({d.extract('x', '([0-9]+)')}, '') AS int) AS n FROM (VALUES (1, '5 units'), (2, 'it always rains'), (3, 'cats sleep')) AS t(id, x)) AS u")
-sql("vqa_statement", lambda d: f"SELECT id, CASE WHEN a = 'yes' THEN {d.rx('q', '^is (.*)[?]$', 'It holds that it is so.')} WHEN q LIKE 'how many%' THEN concat('The count is ', a, '.') ELSE concat('The answer is ', a, '.') END AS s FROM (VALUES (1, 'is it red?', 'yes'), (2, 'how many dogs?', '2'), (3, 'what colour?', 'blue')) AS t(id, q, a)")
+#: Words that flip a statement, tried in this order.
+ANTONYMS = [("increased", "decreased"), ("decreased", "increased"), ("approved", "rejected"), ("rejected", "approved"), ("before", "after"), ("after", "before"), ("allowed", "forbidden"), ("supported", "opposed")]
+
+
+def corrupt(d, x):
+    """The first whole number gets 5, 10 or 100 more (by a hash of the text); else the first antonym that occurs; else a negation in front."""
+    number = d.extract(x, "(^|[^0-9A-Za-z_])([0-9]{1,9})([^0-9A-Za-z_]|$)", 2)
+    head, rest = d.extract(x, "^(.*?(^|[^0-9A-Za-z_]))[0-9]{1,9}([^0-9A-Za-z_].*|$)", 1), d.extract(x, "^.*?(^|[^0-9A-Za-z_])[0-9]{1,9}(([^0-9A-Za-z_].*)?)$", 2)
+    add = f"CASE ascii(md5({x})) % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 100 END"
+    flips = " ".join(f"WHEN {d.matches(f'lower({x})', f'(^|[^a-z0-9_]){a}([^a-z0-9_]|$)')} THEN replace(lower({x}), '{a}', '{b}')" for a, b in ANTONYMS)
+    return f"CASE WHEN {number} <> '' THEN concat({head}, CAST(CAST(nullif({number}, '') AS bigint) + {add} AS bigint), {rest}) {flips} ELSE concat('Contrary to verified reports, it is not the case that ', lower(substr({x}, 1, 1)), substr({x}, 2)) END"
+
+
+sql("corrupt_numeric", lambda d: f"SELECT id, {corrupt(d, 'x')} AS x FROM (VALUES (1, 'It costs 5 units and 7 more'), (2, 'Sales increased in May'), (3, 'Cats sleep'), (4, '12 at the start'), (5, 'They left before noon')) AS t(id, x)")
+sql("vqa_statement", lambda d: f"""SELECT id, CASE WHEN {d.matches('q', '^what colou?r (is|are) ')} THEN concat('The ', {d.rx('q', '^what colou?r (is|are) (the )?', '')}, ' is ', a, '.') WHEN q LIKE 'how many %' THEN concat('There are ', a, ' ', trim({d.rx(d.rx('q', '^how many ', ''), ' (are|is|can|do|does|there|in|on|the|this|that|photo|picture|image)( .*)?$', '')}), ' in the image.')
+    WHEN kind = 'yes/no' AND {d.matches('q', '^(is|are|was|were) [^ ]+ .+$')} THEN concat(upper(substr({d.extract('q', '^[a-z]+ ([^ ]+) ')}, 1, 1)), substr({d.extract('q', '^[a-z]+ ([^ ]+) ')}, 2), ' ', {d.extract('q', '^([a-z]+) ')}, ' ', {d.extract('q', '^[a-z]+ [^ ]+ (.+)$')}, '.') ELSE concat('In this image, the answer to "', q, '?" is ', a, '.') END AS s
+    FROM (VALUES (1, 'is it red', 'yes', 'yes/no'), (2, 'how many dogs are there', '2', 'number'), (3, 'what color is the car', 'blue', 'other'), (4, 'where is he', 'home', 'other')) AS t(id, q, a, kind)""")
+sql("scene_claims", lambda d: "SELECT vec_id, v.label, CASE v.label WHEN 1 THEN concat('The object is of kind ', e.label) WHEN 0 THEN concat('The object is of kind ', (e.label + 1) % 10) ELSE 'The object is old' END AS claim FROM embeddings e CROSS JOIN (VALUES (1), (0), (2)) AS v(label)")
+sql("chart_claims", lambda d: "SELECT l_returnflag AS bar, n, n = max(n) OVER () AS tallest, n + 1 AS mutated FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag) AS t")
 sql("multipage_premise", lambda d: f"SELECT conv_id, {d.collect(chr(99) + 'oncat(' + chr(39) + '[page ' + chr(39) + ', turn, ' + chr(39) + '] ' + chr(39) + ', text)', 'turn')} AS premise FROM (SELECT DISTINCT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) AS c GROUP BY conv_id")
 sql("snli_ve", lambda d: "SELECT id, CASE label WHEN 0 THEN 'contradiction' WHEN 1 THEN 'entailment' ELSE 'neutral' END AS label, concat('image_', id, '.png') AS image FROM pair")
 sql("trajectory_pairs", lambda d: "SELECT conv_id, turn, next_ AS action, 1 AS label FROM (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS next_ FROM conversations) AS t WHERE next_ IS NOT NULL UNION ALL SELECT c.conv_id, c.turn, o.text AS action, 2 AS label FROM conversations c JOIN conversations o ON o.conv_id = c.conv_id + 1 AND o.turn = c.turn AND o.role = c.role")

@@ -21,9 +21,9 @@ sql("grade", lambda d: f"SELECT id, {NAME} AS label, pred = 1 AS passed FROM sco
 sql("rate", lambda d: "SELECT group_id, round(sum(slot * soft) / sum(soft), 6) AS rating FROM (SELECT group_id, soft, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot FROM grouped) AS t GROUP BY group_id HAVING sum(soft) > 0")
 sql("noul_true", lambda d: "SELECT id, round(greatest(0e0, least(1e0, p1 + 0.5e0 * p2)), 6) AS p_true FROM item")
 LEN = "least(8192, 32 + length(premise) - length(replace(premise, ' ', '')) + length(hypothesis) - length(replace(hypothesis, ' ', '')) + 2)"
-CAP = "CASE WHEN n <= 64 THEN 64 WHEN n <= 128 THEN 128 WHEN n <= 256 THEN 256 WHEN n <= 512 THEN 512 WHEN n <= 1024 THEN 1024 WHEN n <= 2048 THEN 2048 WHEN n <= 4096 THEN 4096 ELSE 8192 END"
+CAP = "CASE " + " ".join(f"WHEN n <= {64 << i} THEN {64 << i}" for i in range(12)) + f" ELSE {64 << 11} END"
 sql("token_lengths", lambda d: f"SELECT id, {LEN} AS n FROM pair")
-BUCKET = f"(SELECT id, n, cap, CAST(floor((row_number() OVER (PARTITION BY cap ORDER BY id) - 1) / greatest(1, floor(16384 / cap))) AS bigint) AS batch FROM (SELECT id, n, {CAP} AS cap FROM (SELECT id, {LEN} AS n FROM pair) AS a) AS b) AS t"
+BUCKET = f"(SELECT id, n, cap, CAST(floor((row_number() OVER (PARTITION BY cap ORDER BY id) - 1) / greatest(1, floor(4096 / cap))) AS bigint) AS batch FROM (SELECT id, n, {CAP} AS cap FROM (SELECT id, {LEN} AS n FROM pair) AS a) AS b) AS t"
 sql("token_bucket", lambda d: f"SELECT id, cap, batch FROM {BUCKET}")
 sql("skip_prefix", lambda d: f"SELECT id, cap, batch FROM {BUCKET} WHERE batch >= 2")
 sql("epoch_shuffle", lambda d: f"SELECT cap, batch, row_number() OVER (ORDER BY md5(concat('42:1:', cap, ':', batch))) AS position FROM {BUCKET} GROUP BY cap, batch")
@@ -36,6 +36,11 @@ sql("left_truncate", lambda d: "SELECT id, CASE WHEN length(premise) > 60 THEN c
 sql("resume_skip", lambda d: "SELECT judge AS mode, count(*) AS have, count(*) >= 100 AS skip FROM verdict GROUP BY judge")
 sql("best_checkpoint", lambda d: """WITH e AS (SELECT slice AS epoch, avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS main, avg(CASE WHEN pred_b = gold THEN 1e0 ELSE 0e0 END) AS anchor FROM scored GROUP BY slice),
     b AS (SELECT epoch, main, anchor, max(main) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) SELECT epoch, round(main, 6) AS main, coalesce(main > before, true) AS better FROM b""")
-T = "CASE WHEN {0} IS NULL THEN NULL ELSE greatest(0e0, least(100e0, 100 - 20 * log10(greatest({0}, 1e-6) / {1}))) END"
-sql("composite_score", lambda d: f"""SELECT slice, round(exp((ln(greatest(i, 1)) * 0.5e0 + ln(greatest(c, 1)) * 0.2e0 + ln(greatest(s, 1)) * 0.3e0)), 6) AS score FROM (SELECT slice, 100 * avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS i, 100 * (1 - abs(avg(conf) - avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END))) AS c,
-    {T.format('avg(conf_b)', '0.1e0')} AS s FROM scored GROUP BY slice) AS t""")
+#: Tier weights, and the scales of speed and cost.
+TIERS = {0: 0.14, 1: 0.28, 2: 0.28, 3: 0.30}
+SPEED = "greatest(0e0, least(100e0, 100 - 20 * log10((2 * ({0}) + 0.15e0) / 0.1e0)))"
+sql("composite_score", lambda d: f"""WITH t AS (SELECT slice AS model, id % 4 AS tier, avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS acc FROM scored GROUP BY 1, 2),
+    i AS (SELECT model, sum(w * 100 * acc) / sum(w) AS intelligence FROM t JOIN (VALUES {', '.join(f'({k}, {w}e0)' for k, w in TIERS.items())}) AS v(k, w) ON t.tier = v.k GROUP BY model),
+    o AS (SELECT slice AS model, abs(avg(conf) - avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END)) AS gap, {d.quantile('conf_b', 0.5)} AS p50, {d.quantile('conf_b', 0.95)} AS p95 FROM scored GROUP BY slice),
+    a AS (SELECT i.model, intelligence, 100 * (1 - gap) AS calibration, ({SPEED.format('p50')} + {SPEED.format('p95')}) / 2 AS speed, greatest(0e0, least(100e0, 100 - 30 * log10(0.02e0 / 0.001e0))) AS cost FROM i JOIN o ON i.model = o.model)
+    SELECT model, round(exp(0.25e0 * (ln(greatest(intelligence, 1e0)) + ln(greatest(calibration, 1e0)) + ln(greatest(speed, 1e0)) + ln(greatest(cost, 1e0)))), 6) AS score FROM a""")
