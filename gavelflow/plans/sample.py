@@ -25,8 +25,11 @@ sql("distractor_subsample", lambda d: f"""WITH r AS (SELECT *, row_number() OVER
 sql("group_cap", lambda d: f"SELECT group_id, size FROM (SELECT *, row_number() OVER (ORDER BY h, group_id) AS k FROM {GROUPS}) AS t WHERE k <= 100")
 sql("valid_groups", lambda d: "SELECT CASE WHEN golds = 1 AND size >= 2 THEN group_id END AS group_id, count(*) AS n_rows FROM (SELECT group_id, sum(is_gold) OVER (PARTITION BY group_id) AS golds, count(*) OVER (PARTITION BY group_id) AS size FROM grouped) AS t GROUP BY 1")
 sql("anchor_relabel", lambda d: "SELECT id, concat('anchor_', source) AS source, CASE WHEN label = 0 THEN 1e0 ELSE 0e0 END AS s0, CASE WHEN label = 1 THEN 1e0 ELSE 0e0 END AS s1, CASE WHEN label = 2 THEN 1e0 ELSE 0e0 END AS s2, label = 1 AS is_gold FROM pair WHERE id % 5 = 0")
-sql("split_grouped_strat", lambda d: f"""WITH u AS (SELECT CAST(floor(id / 4) AS bigint) AS grp, min(label) AS stratum FROM pair GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {H('grp')}) AS k, count(*) OVER (PARTITION BY stratum) AS n FROM u)
-    SELECT p.id, CASE WHEN r.k <= greatest(1, floor(r.n * 0.1e0 + 0.5e0)) THEN 'val' ELSE 'train' END AS part FROM pair p JOIN r ON CAST(floor(p.id / 4) AS bigint) = r.grp""")
+HALF_EVEN = "CASE WHEN {0} - floor({0}) = 0.5e0 AND floor({0}) % 2 = 0 THEN floor({0}) ELSE floor({0} + 0.5e0) END"
+sql("split_grouped_strat", lambda d: f"""WITH c AS (SELECT CAST(floor(id / 4) AS bigint) AS grp, label, count(*) AS size, min(ord) AS first FROM pair GROUP BY 1, 2),
+    u AS (SELECT grp, label AS stratum FROM (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY size DESC, first) AS k FROM c) AS m WHERE k = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {H('grp')}) AS k, count(*) OVER (PARTITION BY stratum) * 0.1e0 AS x FROM u)
+    SELECT p.id, CASE WHEN r.k <= greatest(1, {HALF_EVEN.format('r.x')}) THEN 'val' ELSE 'train' END AS part FROM pair p JOIN r ON CAST(floor(p.id / 4) AS bigint) = r.grp""")
 sql("split_label_strat", lambda d: f"SELECT id, CASE WHEN nl >= 2 AND rl <= least(nl - 1, greatest(1, floor(nl * 0.1e0))) THEN 'val' ELSE 'train' END AS part FROM {RANKED}")
 sql("split_premise_group", lambda d: f"""WITH g AS (SELECT premise, count(*) AS size FROM pair WHERE id % 2 = 0 GROUP BY premise), r AS (SELECT premise, size, sum(size) OVER (ORDER BY {H('premise')}, premise ROWS UNBOUNDED PRECEDING) - size AS before FROM g)
     SELECT p.id, CASE WHEN r.before < 0.4e0 * (SELECT count(*) FROM pair WHERE id % 2 = 0) THEN 'test' ELSE 'val' END AS part FROM pair p JOIN r ON p.premise = r.premise WHERE p.id % 2 = 0""")

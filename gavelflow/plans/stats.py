@@ -54,7 +54,20 @@ def exact_p(d):
 sql("mcnemar_exact", lambda d: exact_p(d))
 sql("paired_slices", lambda d: PAIRED)
 sql("slice_report", lambda d: f"SELECT slice, id % 4 AS source, count(*) AS n, round(avg({Y}), 6) AS acc FROM scored GROUP BY slice, id % 4")
-sql("gate_eval", lambda d: f"SELECT count(*) AS shared, count(*) >= 100 AS enough, round(avg({Y}), 6) AS acc_a, round(avg({YB}), 6) AS acc_b, avg({YB}) > avg({Y}) AS better FROM scored")
+THIRD = "least(floor((greatest({c}, 1e0 / 3) - 1e0 / 3) / (2e0 / 3 / 15)), 14)"
+
+
+def gate(d):
+    """The paired gate: better, significant (continuity-corrected chi-square over its 5 % point), calibrated and unbiased enough. At least 25 discordant items."""
+    arm = lambda y, c: f"(SELECT sum(n * abs(acc - m)) / sum(n) FROM (SELECT {THIRD.format(c=c)} AS bin, count(*) AS n, avg({y}) AS acc, avg(least(greatest({c}, 1e0 / 3), 1e0)) AS m FROM scored GROUP BY 1) AS e)"
+    bias = lambda p: f"(SELECT (abs(avg(CASE WHEN {p} = 0 THEN 1e0 ELSE 0e0 END) - 1e0 / 3) + abs(avg(CASE WHEN {p} = 1 THEN 1e0 ELSE 0e0 END) - 1e0 / 3) + abs(avg(CASE WHEN {p} = 2 THEN 1e0 ELSE 0e0 END) - 1e0 / 3)) / 3 FROM scored)"
+    return f"""WITH g AS (SELECT count(*) AS n_paired, avg({Y}) AS acc_a, avg({YB}) AS acc_b, count(*) FILTER (WHERE pred = gold AND pred_b <> gold) AS b, count(*) FILTER (WHERE pred <> gold AND pred_b = gold) AS c,
+        {arm(Y, 'conf')} AS ece_a, {arm(YB, 'conf_b')} AS ece_b, {bias('pred')} AS pbi_a, {bias('pred_b')} AS pbi_b FROM scored)
+    SELECT n_paired, n_paired >= 100 AS enough, round(acc_a, 4) AS acc_a, round(acc_b, 4) AS acc_b, b, c, round(ece_a, 4) AS ece_a, round(ece_b, 4) AS ece_b, round(pbi_a, 4) AS pbi_a, round(pbi_b, 4) AS pbi_b,
+        acc_b > acc_a AND b + c >= 25 AND (abs(b - c) - 1) * (abs(b - c) - 1) / CAST(greatest(b + c, 1) AS double) > 3.841458820694124e0 AND ece_b <= ece_a + 0.01e0 AND pbi_b <= pbi_a + 0.02e0 AS passed FROM g"""
+
+
+sql("gate_eval", gate)
 sql("gate_exp01", lambda d: f"SELECT avg(CASE WHEN slice < 5 THEN {YB} END) / avg(CASE WHEN slice < 5 THEN {Y} END) >= 0.995e0 AS floor_ok, round(avg(CASE WHEN slice >= 5 THEN {YB} END) - avg(CASE WHEN slice >= 5 THEN {Y} END), 6) AS lift FROM scored")
 sql("pbi_abs", lambda d: f"SELECT round(avg(abs(coalesce(n, 0) / CAST(total AS double) - 1e0 / 3)), 6) AS pbi FROM (SELECT i, n, (SELECT count(*) FROM scored) AS total FROM {d.seq(3)} AS s LEFT JOIN (SELECT pred, count(*) AS n FROM scored GROUP BY pred) AS p ON s.i = p.pred) AS t")
 sql("pbi_mixed_rms", lambda d: f"""WITH g AS (SELECT group_id, count(*) AS k, max(CASE WHEN r = 1 THEN slot END) AS chosen FROM (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, row_number() OVER (PARTITION BY group_id ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t GROUP BY group_id)
