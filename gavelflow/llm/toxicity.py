@@ -22,6 +22,7 @@ kinds the built-in weights are used; other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -152,7 +153,7 @@ def learn_lexicon(rows: list[tuple[str, int]], most: int = 64, least_share: floa
     n_toxic = sum(y for _, y in rows)
     share = sum(counts[1].values()) / max(1, sum(counts[0].values()) + sum(counts[1].values()))
     names: dict[str, int] = {}
-    word_ids, entry_ids = [], []
+    word_ids, entry_ids = array("q"), array("q")
     words = sorted({*counts[0], *counts[1]})
     begun = {w[:n] for w in texts for n in range(3, 9)}
     for i, w in enumerate(words):
@@ -193,7 +194,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Grammar:
     rows = training_rows(docs, labels, sample)
     y = np.array([y for _, y in rows], float)
     if len(set(y)) < 2:
