@@ -9,11 +9,11 @@ aligned within a band as wide as the lost shingles allow, an edit similarity of
 as much. Classes are the connected components of the links.
 
 No bucket is expanded into pairs: texts of equal words are one representative;
-each member of a bucket is compared with the bucket's first one. Members that
-failed against the same first one, and are not connected by then, are compared
-with each other in blocks, where a sketch comparison comes first and pairs
-that are already connected are skipped. Components are found by alternating
-stars over tables, never on the driver.
+each member of a bucket is compared with the bucket's first one. Where that
+leaves a bucket in more than one component, its members are compared across
+components in blocks, those that passed included; a sketch comparison comes
+first and pairs that are already connected are skipped. Components are found by
+alternating stars over tables, never on the driver.
 
 Defined results: texts without words (null is empty) are near duplicates only
 of equal texts; texts under five words have one shingle; a null doc_id sorts
@@ -189,40 +189,63 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.select("ad", "ah", "bd", "bh", "at", "bt").mapInArrow(run, LINK)
 
 
+def near_in(t: pa.Table, blocks: tuple, least: float):
+    """t (side, n, sig): of each row in turn the later rows that may be near by their sketches, of the other side if there are two blocks."""
+    side, size = t["side"].to_numpy(), t["n"].to_numpy()
+    sig = np.stack([np.frombuffer(s, np.uint32).reshape(-1, KEPT) for s in t["sig"].to_pylist()])
+    for k in range(t.num_rows):
+        near = np.zeros(t.num_rows - k - 1)
+        for u in range(KEPT):
+            for v in range(KEPT):
+                near += (sig[k + 1 :, :, u] == sig[k, :, v]).sum(1)
+        lo, hi = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
+        ok = (near >= 0.45 * KEPT * sig.shape[1]) & (lo >= least * hi)
+        if blocks[0] != blocks[1]:
+            ok &= side[k + 1 :] != side[k]
+        yield k + 1 + np.flatnonzero(ok)
+
+
+def numbered(t: pa.Table) -> np.ndarray:
+    """The components of the rows as small numbers."""
+    known = {}
+    return np.array([known.setdefault(tuple(c.values()), len(known)) for c in t["comp"].to_pylist()])
+
+
+def open_pairs(groups: DataFrame, least: float) -> DataFrame:
+    """The rows of groups (g, i, j, side, d, h, comp, n, sig) that may be near a row of another component there."""
+
+    def run(key, t):
+        comp, ok = numbered(t), np.zeros(t.num_rows, bool)
+        for k, near in enumerate(near_in(t, key[1:], least)):
+            near = near[comp[near] != comp[k]]
+            ok[near] = True
+            ok[k] |= len(near) > 0
+        return t.filter(pa.array(ok))
+
+    return groups.groupBy("g", "i", "j").applyInArrow(lambda key, t: run([x.as_py() for x in key], t), groups.schema)
+
+
 def rest_links(groups: DataFrame, least: float) -> DataFrame:
-    """groups (g, i, j, side, d, h, comp, sig, text): links between different components within a block or between two."""
+    """groups (g, i, j, side, d, h, comp, n, sig, text): links between different components within a block or between two."""
 
     def run(key, t):
-        n = t.num_rows
-        ids, comp = list(zip(t["d"].to_pylist(), t["h"].to_pylist())), t["comp"].to_pylist()
-        side = t["side"].to_numpy()
-        sig = np.stack([np.frombuffer(s, np.uint32).reshape(-1, KEPT) for s in t["sig"].to_pylist()])
-        words, root = Words(t["text"].combine_chunks()), {}
+        ids, comp = list(zip(t["d"].to_pylist(), t["h"].to_pylist())), numbered(t)
+        words, root, out = Words(t["text"].combine_chunks()), {}, []
 
         def find(c):
             while root.get(c, c) != c:
                 c = root[c]
             return c
 
-        comp = [tuple(c.values()) for c in comp]
-        size, out = np.array([len(words[k][1]) for k in range(n)]), []
-        for k in range(n):
-            near = np.zeros(n - k - 1)
-            for u in range(KEPT):
-                for v in range(KEPT):
-                    near += (sig[k + 1 :, :, u] == sig[k, :, v]).sum(1)
-            lo, hi = np.minimum(size[k + 1 :], size[k]), np.maximum(size[k + 1 :], size[k])
-            ok = (near >= 0.45 * KEPT * sig.shape[1]) & (lo >= least * hi)
-            if key[1] != key[2]:
-                ok &= side[k + 1 :] != side[k]
-            for m in (k + 1 + np.flatnonzero(ok)).tolist():
+        for k, near in enumerate(near_in(t, key[1:], least)):
+            for m in near.tolist():
                 a, b = find(comp[k]), find(comp[m])
                 if a != b and similar(words[k], words[m], least):
                     root[max(a, b)] = min(a, b)
                     out.append((*ids[k], *ids[m], True))
         return pa.table({c: pa.array([o[q] for o in out], pa.bool_() if q == 4 else pa.int64()) for q, c in enumerate(("ad", "ah", "bd", "bh", "linked"))})
 
-    return groups.groupBy("g", "i", "j").applyInArrow(run, LINK)
+    return groups.groupBy("g", "i", "j").applyInArrow(lambda key, t: run([x.as_py() for x in key], t), LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,14 +289,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, b
     links = done.where("linked").select(_id("a").alias("a"), _id("b").alias("b"))
     roots = components(links)
 
-    failed = done.where("not linked").select(_id("a").alias("g"), F.col("bd").alias("d"), F.col("bh").alias("h"))
-    failed = failed.join(roots.select(F.col("v.d").alias("d"), F.col("v.h").alias("h"), "root"), ["d", "h"], "left").withColumn("comp", F.coalesce("root", _id())).drop("root")
-    failed = cut(failed)
-    open_ = failed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("g", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rest = failed.join(open_, "g").withColumn("own", F.pmod(F.xxhash64("d", "h"), F.col("blocks")).cast("int"))
+    # a group is all that met one first row, with that row; only groups in which another component is left are opened
+    met = done.select(_id("a").alias("g"), F.col("bd").alias("d"), F.col("bh").alias("h"))
+    met = met.union(met.select("g", F.col("g.d").alias("d"), F.col("g.h").alias("h")).distinct())
+    met = met.join(roots.select(F.col("v.d").alias("d"), F.col("v.h").alias("h"), "root"), ["d", "h"], "left").withColumn("comp", F.coalesce("root", _id())).drop("root")
+    met = cut(met)
+    open_ = met.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("g", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rest = met.join(open_, "g").withColumn("own", F.pmod(F.xxhash64("d", "h"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("g", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"), "d", "h", "comp")
-    rest = rest.join(own.select("d", "h", "sig"), ["d", "h"]).join(texts, ["d", "h"])
+    rest = cut(open_pairs(rest.join(own.select("d", "h", "n", "sig"), ["d", "h"]), similarity))
+    rest = rest.join(texts, ["d", "h"])
     more = cut(rest_links(rest, similarity))
     release(spark)
     if more.limit(1).count():

@@ -177,6 +177,51 @@ def test_alignment():
             assert near_dedup.aligned(np.array(a, "u8").tobytes(), np.array(b, "u8").tobytes(), limit) == (d[-1] <= limit), (a, b, limit)
 
 
+def edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        d, old = [i], d
+        for j, y in enumerate(b, 1):
+            d.append(min(d[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return d[-1]
+
+
+def near_roots(rows):
+    """The smallest id of each row's class, by comparing all pairs."""
+    sets, root = shingle_sets(rows), list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if find(i) != find(j) and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = rows[i][1].split(), rows[j][1].split()
+                if 10 * edits(a, b) <= 2 * max(len(a), len(b)):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_near_many_variants(spark):
+    rng, rows = random.Random(12), []
+    for g in range(4):  # the smallest ids are far from each other and from many of their group
+        seed = words(rng, 150).split()
+        group = []
+        for _ in range(150):
+            w = list(seed)
+            for at in rng.sample(range(len(w)), rng.choice([0, 1, 2, 3, 3, 3, 3])):
+                w[at] = f"x{rng.randrange(10**6)}"
+            group.append(" ".join(w))
+        group.sort(key=lambda t: -t.count("x"))
+        rows += [(1000 * g + i, t) for i, t in enumerate(group)]
+    want = near_roots(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, rows)).collect()}
+    assert got == want
+    few = {r["d"]: r["root"]["d"] for r in near_dedup.near_classes(table(spark, rows), block=16).collect()}
+    assert few == want
+
+
 def test_license(spark, docs):
     rows = corpus() + [(200, "The MIT License; mit license"), (201, "GNU General Public License"), (202, "General License"), (203, " permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files"), (None, "apache-license"), (204, "ı MİT license Apache\x00LICENSE")]
     got = {}
