@@ -4,9 +4,9 @@ A text is its lower-cased words. Its features are shingles of five words, each
 labelled with its occurrence number. For each of ``sketches`` random orders the
 three smallest shingles are kept in the order of the text; texts that agree in
 one sketch are candidates. A candidate pair is a link if the labelled shingles
-have a Jaccard similarity of ``similarity`` or more and the word sequences,
-aligned within a band as wide as the lost shingles allow, an edit similarity of
-as much. Classes are the connected components of the links.
+have a Jaccard similarity of ``similarity`` or more and the word sequences an
+edit similarity of as much: edits are 1 - ``similarity`` of the longer text's
+words at most. Classes are the connected components of the links.
 
 No bucket is expanded into pairs: texts of equal words are one representative;
 each member of a bucket is compared with the bucket's first one. Where that
@@ -164,6 +164,35 @@ def aligned(a: bytes, b: bytes, limit: int) -> bool:
     return False
 
 
+def within(a: bytes, b: bytes, limit: int) -> bool:
+    """The same as ``aligned`` for many edits: a column of the table of edits is two numbers, a bit for each word of a."""
+    a, b = (np.frombuffer(x, U64) for x in (a, b))
+    m = min(len(a), len(b))
+    other = np.flatnonzero(a[:m] != b[:m])
+    head = int(other[0]) if len(other) else m
+    other = np.flatnonzero(a[len(a) - m + head :][::-1] != b[len(b) - m + head :][::-1])
+    tail = int(other[0]) if len(other) else m - head
+    a, b = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    if not a or not b:
+        return max(len(a), len(b)) <= limit
+    at = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+    at = {w: sum(1 << i for i in at[w]) for w in set(b) & set(at)}
+    every, top, edits = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0  # where the column rises by one, and falls
+    for left, w in zip(range(len(b) - 1, -1, -1), b):
+        x = at.get(w, 0)
+        zero = (((x & up) + up) ^ up) | x | down
+        rise, fall = down | (every & ~(zero | up)), zero & up
+        edits += bool(rise & top) - bool(fall & top)
+        if edits - left > limit:
+            return False
+        rise, fall = (rise << 1) | 1, fall << 1
+        up, down = (fall | ~(zero | rise)) & every, rise & zero & every
+    return edits <= limit
+
+
 def similar(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray], least: float) -> bool:
     (aw, ah), (bw, bh) = a, b
     if min(len(ah), len(bh)) < least * max(len(ah), len(bh)):
@@ -172,7 +201,9 @@ def similar(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray], least: flo
     union = len(ah) + len(bh) - both
     if not both or both < least * union - 1e-9:
         return False
-    return aligned(aw, bw, min(int((1 - least) * max(len(aw), len(bw)) // 8), union - both))
+    limit = int((1 - least) * (max(len(aw), len(bw)) // 8) + 1e-9)
+    # edits in place lose a shingle or more each, so few suffice for most pairs; moved passages take more
+    return aligned(aw, bw, min(limit, union - both)) or (limit > union - both and within(aw, bw, limit))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

@@ -222,6 +222,21 @@ def test_near_many_variants(spark):
     assert few == want
 
 
+def test_near_moved_passage(spark):
+    rng, rows = random.Random(13), []
+    for g, (n, moved) in enumerate([(300, 30), (300, 31), (100, 8), (1000, 90), (1000, 110)]):
+        w = [f"g{g}w{i}" for i in range(n)]
+        rows += [(10 * g, " ".join(w)), (10 * g + 1, " ".join(w[moved:] + w[:moved])), (10 * g + 2, " ".join(w[: n // 2] + w[n // 2 + moved :] + w[n // 2 : n // 2 + moved]))]
+    want = near_roots(rows)
+    assert want[1] == 0 and want[11] == 11
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table(spark, rows)).collect()} == want
+    for _ in range(300):
+        a = [rng.randrange(6) for _ in range(rng.randrange(14))]
+        b = [rng.randrange(6) if rng.random() < 0.3 else x for x in a if rng.random() < 0.9]
+        for limit in range(6):
+            assert near_dedup.within(np.array(a, "u8").tobytes(), np.array(b, "u8").tobytes(), limit) == (edits(a, b) <= limit), (a, b, limit)
+
+
 def test_license(spark, docs):
     rows = corpus() + [(200, "The MIT License; mit license"), (201, "GNU General Public License"), (202, "General License"), (203, " permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files"), (None, "apache-license"), (204, "ı MİT license Apache\x00LICENSE")]
     got = {}
