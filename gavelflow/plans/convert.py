@@ -37,15 +37,15 @@ sql("conv_aqua", lambda d: f"SELECT id, i, {d.rx('v', '^[A-E][):] *', '')} AS hy
 sql("conv_prometheus", lambda d: "SELECT id, CASE WHEN s >= 4 THEN 1 WHEN s <= 2 THEN 0 ELSE 2 END AS label FROM (SELECT id, try_cast(score AS int) AS s FROM (VALUES (1, '5'), (2, '3'), (3, '1'), (4, 'x')) AS t(id, score)) AS u WHERE s IS NOT NULL")
 sql("conv_helpsteer", lambda d: "SELECT * FROM (SELECT id, CASE WHEN correctness < 0 THEN NULL WHEN correctness >= 4 AND coherence >= 4 THEN 1 WHEN coherence >= 3 AND correctness <= 1 THEN 0 WHEN correctness IN (2, 3) THEN 2 END AS label FROM (VALUES (1, 4, 4), (2, 0, 4), (3, 2, 1), (4, 3, 4), (5, 4, 2), (6, -1, 4), (7, 1, 2)) AS t(id, correctness, coherence)) AS u WHERE label IS NOT NULL")
 P = "round(greatest(0e0, least(1e0, soft * 10)), 4)"
-sql("typed_noul", lambda d: f"SELECT ord, part, v AS option_, CASE WHEN v = 'yes' THEN {P} ELSE round(1 - {P}, 4) END AS prob FROM grouped {d.explode(d.arr(chr(39) + 'yes' + chr(39), chr(39) + 'no' + chr(39)))} WHERE group_id <= 2000")
+sql("typed_noul", lambda d: f"SELECT ord, part, v AS option_, CASE WHEN v = 'yes' THEN {P} ELSE round(1 - {P}, 4) END AS prob FROM grouped {d.explode(d.arr(chr(39) + 'yes' + chr(39), chr(39) + 'no' + chr(39)))}")
 sql("typed_choice", lambda d: "SELECT group_id, part, is_gold, CASE WHEN is_gold = 1 THEN 0.95e0 ELSE round(0.05e0 / (kk - 1), 4) END AS prob FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS kk, row_number() OVER (PARTITION BY group_id, is_gold ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t WHERE kk > 1 AND (is_gold = 1 OR r <= 2)")
 sql("typed_score", lambda d: "SELECT group_id, part, k FROM (SELECT *, max(CASE WHEN is_gold = 1 THEN k END) OVER (PARTITION BY group_id) AS g FROM grouped) AS t WHERE abs(k - g) <= 1")
-sql("typed_ingest", lambda d: "SELECT group_id, count(*) AS options FROM grouped WHERE group_id <= 500 GROUP BY group_id ORDER BY group_id LIMIT 100")
+sql("typed_ingest", lambda d: "SELECT group_id, count(*) AS options FROM grouped GROUP BY group_id")
 sql("state_premise", lambda d: f"SELECT event_id, coalesce({d.json('props', 'k')}, props) AS premise FROM events")
 sql("format_state", lambda d: "SELECT doc_id, concat('Source: ', trim(source), chr(10), chr(10), 'Doc lang: ', trim(lang)) AS state FROM documents WHERE source <> '' AND lang <> ''")
 sql("decision_from_dict", lambda d: f"SELECT id, i, chr(CAST(65 + i AS int)) AS key, v AS text FROM {rows('t', 'id, opts', chr(40) + '1, ' + chr(39) + 'red|green|blue' + chr(39) + ')')} {d.explode(d.split('opts', '[|]'))}")
-SLOT = "(SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped WHERE group_id <= 3000) AS g"
-sql("cyclic_permutations", lambda d: f"SELECT group_id, i AS shift, (slot - i + kk) % kk AS position, part, is_gold, chr(CAST(65 + (slot - i + kk) % kk AS int)) AS key FROM {SLOT} CROSS JOIN {d.seq(20)} AS s WHERE i < kk")
+SLOT = "(SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped) AS g"
+sql("cyclic_permutations", lambda d: f"SELECT group_id, i AS shift, (slot - i + kk) % kk AS position, part, is_gold, chr(CAST(65 + (slot - i + kk) % kk AS int)) AS key FROM {SLOT} JOIN (SELECT group_id AS of_, CAST(slot AS bigint) AS i FROM {SLOT}) AS s ON of_ = group_id")
 sql("incontext_prompt", lambda d: f"SELECT group_id, concat('Question: best part?', chr(10), 'Options: ', {d.collect('part', 'slot')}, chr(10), 'Decision:') AS prompt FROM {SLOT} GROUP BY group_id")
 sql("scenario_pairs", lambda d: f"SELECT group_id, part, CASE WHEN is_gold = 1 THEN 0.88e0 ELSE round(0.12e0 / (kk - 1), 4) END AS soft FROM {SLOT} WHERE kk > 1")
 sql("remediation_pairs", lambda d: f"SELECT group_id, part, CASE WHEN is_gold = 1 THEN 0.92e0 ELSE round(0.08e0 / (kk - 1), 4) END AS soft FROM {SLOT} WHERE kk > 1")
@@ -62,16 +62,16 @@ sql("ragtruth_served", lambda d: "SELECT id, concat('Context: ', premise) AS sta
 FILL = "(SELECT premise AS filler, row_number() OVER (ORDER BY md5(concat('7:', premise)), premise) AS r FROM (SELECT DISTINCT premise FROM pair WHERE length(premise) BETWEEN 20 AND 60) AS u) AS f"
 
 
-def haystack(d, n, extra="1 = 1"):
-    """Needle n of label 1 among n fillers, chosen by rank; inserted at a depth, dropped for label 2."""
-    return f"""WITH fill AS (SELECT filler, r FROM {FILL} WHERE r <= 40), need AS (SELECT id, premise, label, id % {n} AS depth FROM pair WHERE length(premise) BETWEEN 20 AND 80 AND {extra}),
-        para AS (SELECT n.id, f.r AS o, f.filler AS t FROM need n CROSS JOIN fill f WHERE (f.r + n.id) % 40 < {n} UNION ALL SELECT id, depth + 0.5e0 AS o, premise AS t FROM need WHERE label <> 2)
+def haystack(d, n, keep="label <> 2"):
+    """Every premise among n fillers, chosen by rank; inserted at a depth where ``keep`` holds, else dropped."""
+    return f"""WITH fill AS (SELECT filler, r FROM {FILL} WHERE r <= 40), need AS (SELECT id, premise, label, id % {n} AS depth FROM pair),
+        para AS (SELECT n.id, f.r AS o, f.filler AS t FROM need n CROSS JOIN fill f WHERE (f.r + n.id) % 40 < {n} UNION ALL SELECT id, depth + 0.5e0 AS o, premise AS t FROM need WHERE {keep})
         SELECT id, count(*) AS paragraphs, {d.collect('t', 'o')} AS text FROM para GROUP BY id"""
 
 
 sql("haystack", lambda d: haystack(d, 8))
 sql("haystack_simple", lambda d: haystack(d, 15, "id % 10 >= 3"))
-sql("haystack_bucketed", lambda d: haystack(d, 20, "id % 3 = 0"))
+sql("haystack_bucketed", lambda d: haystack(d, 20))
 #: Words that flip a statement, tried in this order.
 ANTONYMS = [("increased", "decreased"), ("decreased", "increased"), ("approved", "rejected"), ("rejected", "approved"), ("before", "after"), ("after", "before"), ("allowed", "forbidden"), ("supported", "opposed")]
 

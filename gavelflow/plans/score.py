@@ -30,7 +30,7 @@ sql("epoch_shuffle", lambda d: f"SELECT cap, batch, row_number() OVER (ORDER BY
 sql("length_grouped", lambda d: f"SELECT id, n, CAST(floor((row_number() OVER (ORDER BY n DESC, id) - 1) / 8) AS bigint) AS megabatch FROM {BUCKET}")
 sql("group_compact", lambda d: "SELECT group_id, dense_rank() OVER (ORDER BY first) - 1 AS compact FROM (SELECT group_id, min(ord) AS first FROM grouped GROUP BY group_id) AS t")
 sql("group_offset", lambda d: "SELECT batch, local_max, sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - local_max - 1 AS offset_ FROM (SELECT CAST(floor(id / 50) AS bigint) AS batch, max(id % 7) AS local_max FROM pair GROUP BY 1) AS t".replace("sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING)", "CAST(sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS bigint)"))
-sql("adjacency", lambda d: "SELECT a.ord AS a, a.part AS pa, b.ord AS b, b.part AS pb FROM grouped a JOIN grouped b ON a.group_id = b.group_id WHERE a.group_id <= 200")
+sql("adjacency", lambda d: "SELECT a.ord AS a, a.part AS pa, b.ord AS b, b.part AS pb FROM grouped a JOIN grouped b ON a.group_id = b.group_id")
 sql("pad_multiple", lambda d: f"SELECT cap, batch, CAST(ceil(max(n) / 8e0) * 8 AS bigint) AS padded FROM {BUCKET} GROUP BY cap, batch")
 sql("left_truncate", lambda d: "SELECT id, CASE WHEN length(premise) > 60 THEN concat(substr(premise, 1, 10), substr(premise, length(premise) - 49, 50)) ELSE premise END AS text FROM pair")
 sql("resume_skip", lambda d: "SELECT judge AS mode, count(*) AS have, count(*) >= 100 AS skip FROM verdict GROUP BY judge")

@@ -17,6 +17,7 @@ from gavelflow.sources import readers, sinks
 from gavelflow.streaming import verdicts
 
 SF = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
 
 
 def plain(v):
@@ -45,6 +46,35 @@ def test_query_against_sql(spark, duck, name):
     assert collections.Counter(tuple(plain(r[c]) for c in names) for r in got.collect()) == collections.Counter(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+WHOLE = {"typed_noul": None, "typed_ingest": "group_id", "cyclic_permutations": "group_id", "incontext_prompt": "group_id", "scenario_pairs": "group_id", "remediation_pairs": "group_id", "group_to_v2": "group_id", "systemone_format": "group_id", "adjacency": None}
+
+
+def test_whole_tables(spark):
+    """Queries over groups leave out no order, however large its key."""
+    lines = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF01}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect():
+        lines[r[0]].append(r[1])
+    many, some = {g for g, k in lines.items() if len(k) > 1}, set(lines)
+    want = {"typed_noul": 2 * sum(map(len, lines.values())), "adjacency": sum(len(k) ** 2 for k in lines.values()), "cyclic_permutations": sum(len(k) ** 2 for k in lines.values())}
+    for name, key in WHOLE.items():
+        got = registry.QUERIES[name](spark, SF01)
+        if key:
+            assert {r[0] for r in got.select(key).distinct().collect()} == (many if name in ("scenario_pairs", "remediation_pairs", "group_to_v2") else some), name
+        assert got.count() == want.get(name, got.count()), name
+
+
+@pytest.mark.parametrize("name, n, kept", [("haystack", 8, lambda i, y: y != 2), ("haystack_simple", 15, lambda i, y: i % 10 >= 3), ("haystack_bucketed", 20, lambda i, y: y != 2)])
+def test_haystack_rows(spark, name, n, kept):
+    """A row for every document, with its premise or, where the needle is dropped, only the fillers."""
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{SF01}/labels.parquet").select("doc_id", "quality").collect()}
+    docs = [(r[0], r[1].split("\n")[0]) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["id"]: (r["paragraphs"], r["text"]) for r in registry.QUERIES[name](spark, SF01).collect()}
+    assert set(got) == {i for i, _ in docs}
+    for i, premise in docs:
+        with_needle = kept(i, labels.get(i, 2))
+        assert got[i][0] == n + with_needle and (not with_needle or premise in got[i][1])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
