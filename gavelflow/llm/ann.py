@@ -4,13 +4,14 @@ Rows are dealt to shards of bounded size by a hash of their id. A shard's
 forest has for each tree a sorted array of long hash strings: signs of random
 projections. A query descends to its longest matching prefix in every tree and
 then all trees ascend together, one bit at a time, until the ranges of equal
-prefixes hold enough rows. These candidates get exact inner products in double
+prefixes hold enough rows, 3 k different ones beside the query's own at least
+(all where there are fewer). These candidates get exact inner products in double
 precision. Vectors are extended by one component to equal norms, so that close
 hashes mean large inner products. Shards answer blocks of queries; the answers
 are merged per query.
 
 Every row is in the index. ``share`` sets how many prefix hits the ascent
-gathers, as a part of the shard's rows; recall for it is measured in the tests
+gathers, as a part of the shard's rows, the query's own row not counted; recall for it is measured in the tests
 and given in the README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -39,7 +40,9 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 class Forest:
-    def __init__(self, vectors: np.ndarray, trees: int, seed: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, seed: int):
+        self.ids = ids
+        self.known, self.times = np.unique(ids, return_counts=True)
         norms = (vectors**2).sum(1)
         extra = np.sqrt(np.maximum(0, norms.max() - norms))
         rng = np.random.default_rng(seed)
@@ -53,12 +56,25 @@ class Forest:
         power = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         return np.stack([(x @ p > 0) @ power for p in self.planes])
 
-    def candidates(self, queries: np.ndarray, enough: float):
-        """For each query a mask of rows: those in the ranges that all trees ascended to together."""
+    def mask(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rows in one range of each tree."""
+        out = np.zeros(self.sorted.shape[1], bool)
+        for order, i, j in zip(self.order, lo, hi):
+            out[order[i:j]] = True
+        return out
+
+    def candidates(self, qid: np.ndarray, queries: np.ndarray, enough: float, k: int):
+        """For each query a mask of rows: those in the ranges that all trees ascended to together.
+
+        These hold ``enough`` hits beside those of the query's own rows, and ``k`` other ids, or all rows.
+        """
         codes = self.hash(np.column_stack([queries, np.zeros(len(queries))]))
         n = self.sorted.shape[1]
         lo, hi = np.zeros(codes.shape, np.int64), np.full(codes.shape, n, np.int64)
         open_ = np.ones(len(queries), bool)
+        known, times = self.known, self.times
+        place = np.minimum(np.searchsorted(known, qid), len(known) - 1)
+        own = np.where(known[place] == qid, times[place], 0) * len(codes)  # hits of the query's own rows at most
         for length in range(BITS, -1, -1):
             at = np.flatnonzero(open_)
             if not len(at):
@@ -67,16 +83,17 @@ class Forest:
             base = codes[:, at] & ~np.int64(step - 1)
             begin = np.stack([np.searchsorted(s, b) for s, b in zip(self.sorted, base)])
             end = np.stack([np.searchsorted(s, b + step) for s, b in zip(self.sorted, base)])
-            done = (end - begin).sum(0) >= enough
+            done = (end - begin).sum(0) - own[at] >= enough
             if length == 0:
                 done[:] = True
+            else:  # a range of so many rows holds k other ids for sure
+                for j in np.flatnonzero(done & ((end - begin).max(0) < (k + 1) * times.max())):
+                    found = self.ids[self.mask(begin[:, j], end[:, j])]
+                    done[j] = len(np.unique(found[found != qid[at[j]]])) >= k
             lo[:, at[done]], hi[:, at[done]] = begin[:, done], end[:, done]
             open_[at[done]] = False
         for q in range(len(queries)):
-            mask = np.zeros(n, bool)
-            for t in range(len(codes)):
-                mask[self.order[t, lo[t, q] : hi[t, q]]] = True
-            yield mask
+            yield self.mask(lo[:, q], hi[:, q])
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = 40, share: float = 1.5, shard_rows: int = 8192, block: int = 8192, seed: int = 7) -> DataFrame:
@@ -101,12 +118,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = 40, sh
                 if n not in mine:
                     continue
                 ids, v = mine[n]
-                forest = Forest(v, trees, seed)
-                for i, mask in enumerate(forest.candidates(qv, share * len(v))):
+                forest = Forest(ids, v, trees, seed)
+                most = k * int(forest.times.max())
+                for i, mask in enumerate(forest.candidates(qid, qv, share * len(v), 3 * k)):
                     at = np.flatnonzero(mask & (ids != qid[i]))
                     s = v[at] @ qv[i]
-                    if len(at) > 3 * k:  # those that may be among the k best, whatever the order of summation
-                        at = at[s >= np.partition(s, -k)[-k] - 1e-9 * (1 + np.abs(s).max())]
+                    if len(at) > 3 * most:  # those that may be among the k best ids, whatever the order of summation
+                        at = at[s >= np.partition(s, -most)[-most] - 1e-9 * (1 + np.abs(s).max())]
                     s = (v[at] * qv[i]).sum(1)
                     best = np.lexsort([ids[at], -s])
                     _, once = np.unique(ids[at][best], return_index=True)

@@ -351,6 +351,25 @@ def test_nearest(spark):
     assert hits / (20 * len(by)) >= 0.9
 
 
+def test_nearest_in_small_groups(spark):
+    """All candidates if there are fewer than 20, and 20 otherwise; also for a rare vector length dealt over many shards."""
+    rng = np.random.default_rng(4)
+    unit = lambda n, d: (lambda v: v / np.sqrt((v**2).sum(1, keepdims=True)))(rng.standard_normal((n, d)))
+    for n in (5, 21, 40):
+        v = unit(n, 64)
+        t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 30, "vec_id long, embedding array<double>")
+        found = collections.defaultdict(set)
+        for r in ann.search(t.distinct(), t).collect():
+            found[r["query_id"]].add(r["vec_id"])
+        assert all(len(found[i]) == min(20, n - 1) and i not in found[i] for i in range(n)), n
+        best = [{j for j in np.argsort(-(v @ v[i])) if j != i and j in set(np.argsort(-(v @ v[i]))[:21])} for i in range(n)]
+        assert np.mean([len(found[i] & set(list(best[i]))) / min(20, n - 1) for i in range(n)]) >= 0.9, n
+    v, rare = unit(1000, 16), unit(30, 8)
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*v, *rare])], "vec_id long, embedding array<double>")
+    got = ann.search(t.where("vec_id >= 1000"), t, shard_rows=250).groupBy("query_id").count().collect()
+    assert len(got) == 30 and all(r["count"] == 20 for r in got)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
