@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -67,7 +68,7 @@ class Grammar:
             return self.words[word]
         return max((self.starts[word[:n]] for n in self.lengths if word[:n] in self.starts), default=0.0)
 
-    def clause(self, words: list[str]) -> float:
+    def clause(self, words: Iterable[str]) -> float:
         """Run the composed transducers over a clause: the weight of its output."""
         out, negated, near, pending, reported = 0.0, 0, 0, [], 1.0
         for w in words:
@@ -99,9 +100,7 @@ class Grammar:
             begin = max(text.rfind(c, 0, m.start()) for c in ".!?;\n") + 1
             stop = CLAUSE.search(text, m.end())
             end = stop.start() if stop else len(text)
-            weight = self.clause(WORD.findall(text, max(begin, m.start() - 400), min(end, m.end() + 4000)) if end - begin > 4400 else WORD.findall(text, begin, end))
-            if end - begin > 4400:
-                end = min(end, m.end() + 4000)
+            weight = self.clause(w[0] for w in WORD.finditer(text, begin, end))
             total, most = total + weight, max(most, weight)
         return total, most, float(np.log1p(text.count(" ")))
 

@@ -276,6 +276,15 @@ def test_toxicity(spark):
     assert plain.score("nice text") < 0.2 and plain.clause("you moron".split()) > plain.clause("moron".split()) > plain.clause("not a moron".split()) and plain.clause("he said moron".split()) < plain.clause("you moron".split())
 
 
+def test_toxicity_long_clause():
+    """A clause is read whole, however long: reported speech far back counts, and each hit once."""
+    g = toxicity.Grammar()
+    fill = " ".join(["plain"] * 2000)
+    for text in (f"he said {fill} moron", f"moron {fill} you idiot {fill} scum", "moron " * 3000, f"moron {fill} " * 3):
+        weight = g.clause(WORD.findall(text.strip()))
+        assert weight > 0 and g.features(text)[:2] == pytest.approx((weight, weight)), text[:20]
+
+
 def test_lm(docs):
     rows = corpus()
     c = [collections.Counter() for _ in range(4)]
