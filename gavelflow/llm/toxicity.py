@@ -1,17 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read by a transducer composed of five: insults (words, or word
-beginnings for inflected ones), threats, targets, negation and reported
-speech. It carries weights: an insult or a threat emits its weight, raised
-near a target, lowered after a negation or inside reported speech. What is
-scored is the matched clause, not the word. The clause weights of a text,
-their maximum and the text's length give its score by a logistic curve.
+Five transducers read a clause: insults (words, or word beginnings for
+inflected ones) and threats emit weights; targets, negation and reported speech
+are tables of states that mark words, composed into one table by their product.
+An insult or a threat counts more near a target, less after a negation or in
+reported speech. What is scored is the matched clause, read whole, not the
+word. The clause weights of a text, their maximum and the text's length give
+its score by a logistic curve.
 
 The insult lexicon has a fixed part and a part learned from labelled rows:
 words and word beginnings that toxic texts have and others lack. It and the
-curve are fitted on at most ``sample`` labelled rows, those with the smallest
-hashes of their doc_id; every text is then scored whole. Labels, language,
-source and doc_id are never inputs of a score.
+curve are fitted on at most ``sample`` labelled rows with texts of ``longest``
+bytes at most, those with the smallest hashes of their doc_id, so that the
+driver holds sample x longest bytes at most; every text is then scored whole.
+Labels, language, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts get the score of a text without any
 match; a null doc_id is never held out and never trained on; labels that are
@@ -48,6 +50,54 @@ BUILT_IN, THREAT, NEAR_TARGET, NEGATED, REPORTED = 4.0, 2.0, 1.15, 0.5, 0.6
 CURVE = (-3.0, 1.0, 0.5, 0.0)
 
 
+#: What a word is to the transducers of context; every other word is OTHER.
+OTHER, TARGET, NEGATION, REPORT = range(4)
+KIND = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A table by state and kind of word: the next state, and the marks that the word gets. State 0 is the start."""
+
+    next: tuple[tuple[int, ...], ...]
+    marks: tuple[tuple[tuple[bool, ...], ...], ...]
+
+    def run(self, kinds: list[int]) -> list[tuple[bool, ...]]:
+        state, out = 0, []
+        for k in kinds:
+            out.append(self.marks[state][k])
+            state = self.next[state][k]
+        return out
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """Both, reading the same words side by side: states are the pairs that can be reached."""
+        pairs, known = [(0, 0)], {(0, 0): 0}
+        for a, b in pairs:
+            for k in range(4):
+                after = (self.next[a][k], other.next[b][k])
+                if after not in known:
+                    known[after] = len(pairs)
+                    pairs.append(after)
+        step = tuple(tuple(known[self.next[a][k], other.next[b][k]] for k in range(4)) for a, b in pairs)
+        return Transducer(step, tuple(tuple(self.marks[a][k] + other.marks[b][k] for k in range(4)) for a, b in pairs))
+
+
+def after(kind: int, words: int, itself: bool = True) -> Transducer:
+    """Marks the words up to ``words`` after one of a kind, and that one itself if so wished."""
+    states = range(words + 1)  # words that are still to be marked
+    return Transducer(tuple(tuple(words if k == kind else max(0, s - 1) for k in range(4)) for s in states), tuple(tuple((s > 0 or (itself and k == kind),) for k in range(4)) for s in states))
+
+
+def ever(kind: int) -> Transducer:
+    """Marks a word of a kind and all that follow."""
+    return Transducer(tuple(tuple(int(s or k == kind) for k in range(4)) for s in (0, 1)), tuple(tuple((bool(s) or k == kind,) for k in range(4)) for s in (0, 1)))
+
+
+#: Read from the left: near a target before it, negated, reported. Read from the right: a target follows.
+CONTEXT = after(TARGET, 3) @ after(NEGATION, 2) @ ever(REPORT)
+FOLLOWED = after(TARGET, 2, itself=False)
+
+
 @dataclass
 class Grammar:
     """weights: insult -> weight; an entry ending in * is a word beginning."""
@@ -69,25 +119,16 @@ class Grammar:
         return max((self.starts[word[:n]] for n in self.lengths if word[:n] in self.starts), default=0.0)
 
     def clause(self, words: Iterable[str]) -> float:
-        """Run the composed transducers over a clause: the weight of its output."""
-        out, negated, near, pending, reported = 0.0, 0, 0, [], 1.0
-        for w in words:
+        """The weight that the composed transducers give a clause: insults and threats emit theirs, changed by the marks of their words."""
+        words = list(words)
+        kinds = [KIND.get(w, OTHER) for w in words]
+        marks, followed = CONTEXT.run(kinds), FOLLOWED.run(kinds[::-1])[::-1]
+        out = 0.0
+        for w, (near, negated, _), (target_after,) in zip(words, marks, followed):
             weight = self.emit(w)
-            if w in TARGETS:
-                near = 4
-                out += sum(p * (NEAR_TARGET - 1) for p, left in pending if left > 0)
-                pending = []
-            elif w in NEGATIONS:
-                negated = 3
-            elif w in REPORTS:
-                reported = REPORTED
             if weight and (w not in THREATS or near or negated):  # a threat needs a target or a negation before it to count at all
-                weight *= (NEAR_TARGET if near else 1.0) * (NEGATED if negated else 1.0)
-                out += weight
-                pending.append((weight, 3))
-            negated, near = max(0, negated - 1), max(0, near - 1)
-            pending = [(p, left - 1) for p, left in pending if left > 1]
-        return out * reported
+                out += weight * (NEAR_TARGET if near else 1.0) * (NEGATED if negated else 1.0) * (NEAR_TARGET if target_after else 1.0)
+        return out * (REPORTED if marks and marks[-1][2] else 1.0)  # the weight of the state that the clause ends in
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Sum and maximum of the clause weights, and the logarithm of the length in words."""
@@ -114,11 +155,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int) -> list[tuple[str, int]]:
     """Texts and labels of at most ``sample`` labelled rows that are not held out."""
     labels = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     chosen = labels.orderBy(F.xxhash64("id"), "id", "y").limit(sample)  # bounded, hence broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("text")).limit(sample)
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= longest
+    rows = docs.select("doc_id", "text").where(short).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("text")).limit(sample)
     return [(r["text"] or "", int(r["y"] > 0)) for r in rows.select("text", "y").collect()]
 
 
@@ -193,8 +235,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Grammar:
-    rows = training_rows(docs, labels, sample)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, longest: int = 65_536) -> Grammar:
+    rows = training_rows(docs, labels, sample, longest)
     y = np.array([y for _, y in rows], float)
     if len(set(y)) < 2:
         return Grammar()

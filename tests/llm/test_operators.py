@@ -285,6 +285,20 @@ def test_toxicity_long_clause():
         assert weight > 0 and g.features(text)[:2] == pytest.approx((weight, weight)), text[:20]
 
 
+def test_toxicity_automaton():
+    """The composed tables against the rule, word by word."""
+    rng, g = random.Random(6), toxicity.Grammar({"moron": 4.0, "zog*": 3.0, "you": 1.0, "not": 0.5})
+    for _ in range(3000):
+        w = [rng.choice(["moron", "zogul", "kill", "you", "not", "said", "plain", "grass"]) for _ in range(rng.randrange(9))]
+        want = 0.0
+        for i, x in enumerate(w):
+            weight = {"moron": 4.0, "zogul": 3.0, "kill": 2.0, "you": 1.0, "not": 0.5}.get(x, 0.0)
+            near, negated, follows = "you" in w[max(0, i - 3) : i + 1], "not" in w[max(0, i - 2) : i + 1], "you" in w[i + 1 : i + 3]
+            if x != "kill" or near or negated:
+                want += weight * (1.15 if near else 1) * (0.5 if negated else 1) * (1.15 if follows else 1)
+        assert g.clause(w) == pytest.approx(want * (0.6 if "said" in w else 1)), w
+
+
 def test_lm(docs):
     rows = corpus()
     c = [collections.Counter() for _ in range(4)]
