@@ -2,10 +2,13 @@
 
 The stream keeps one state row for each digest, on disk (RocksDB), and no
 watermark ever expires it: how many rows had the digest, and of the best of
-them the stable identifier and the content locator (the file it came from).
-Micro-batches of bounded size go through it, so a restart continues from the
-checkpoint. Every row that hits an existing digest is then compared with the
-keeper's full text; rows whose bytes differ in spite of equal digests are
+them the stable identifier and the content locator (its file, and its row
+there). Micro-batches of bounded size go through it; with a checkpoint that
+is kept, a later call takes in only the files that are new. Every row that hit
+another is then compared in full with the keeper's text, which is found by its
+locator: keepers are copied to as many parts as their groups need, so a text
+that fills the corpus is compared in many tasks, and rows that hit no other
+send no text at all. Rows whose bytes differ in spite of equal digests are
 grouped again by the full text.
 
 Defined results: a null text counts as empty; a null doc_id sorts after every
@@ -20,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_files, release, shared_dir
+from .common import cut, drop_files, release, shared_dir
 
 #: The characters that do not count when texts are compared.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -33,6 +36,14 @@ STORE_CONF = {
 }
 
 
+#: Rows of one group that are compared in one part.
+PART_ROWS = 1000
+
+
+def locator() -> Column:
+    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -65,38 +76,56 @@ def ingest(stream: DataFrame, checkpoint: str, digest: Callable[[Column], Column
 
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state rows: digest, group_size, best."""
+    """The state rows: digest, group_size, keep_id, locator of the keeper."""
     s = spark.read.format("statestore").option("path", checkpoint).load()
     count, best = s.schema["value"].dataType.names
-    return s.select("key.digest", F.col("value")[count].alias("group_size"), F.col("value")[best].alias("best"))
+    return s.select("key.digest", F.col("value")[count].alias("group_size"), _keep_id(F.col("value")[best]).alias("keep_id"), F.col("value")[best]["locator"].alias("locator"))
+
+
+def alike(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Digests of groups in which a row differs from the keeper, after comparing all their texts."""
+    spark, norm = docs.sparkSession, normalised(F.col("text"))
+    groups = cut(state.where("group_size > 1").select("digest", "locator", F.ceil(F.col("group_size") / PART_ROWS).cast("int").alias("parts")))
+    # rows that hit no other are to be left out before the shuffle, by a Bloom filter at every size
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "0")
+    try:
+        keepers = docs.select("locator", norm.alias("kept")).join(groups.where("parts > 0"), "locator").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = docs.select(digest(norm).alias("digest"), "locator", norm.alias("norm")).join(groups.where("parts > 0").select("digest", "parts"), "digest").withColumn("part", F.pmod(F.xxhash64("locator"), F.col("parts")).cast("int"))
+        return cut(rows.join(keepers.select("digest", "part", "kept"), ["digest", "part"]).where("norm <> kept").select("digest").distinct())
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def decide(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Of every row of docs, the group and the row that stays, after the full texts were compared."""
+    """Of every row of docs (doc_id, text, locator) the group and the row that stays, after the full texts were compared."""
     norm = normalised(F.col("text"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit("").alias("locator"))
-    state = state.select("digest", "group_size", _keep_id(F.col("best")).alias("keep_id"))
-    lite = docs.select("doc_id", digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"))
-    full = docs.select("doc_id", digest(norm).alias("digest"), norm.alias("norm"))
-    keeper = full.join(state.where("group_size > 1").withColumnRenamed("digest", "d"), F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    unlike = full.join(keeper, "digest").where("norm <> kept_norm").select("digest")
-    out = lite.join(state, "digest", "left")
+    unlike = alike(docs, state, digest)
+    lite = docs.select("doc_id", F.sha2(norm, 256).alias("text_sha256"), *([] if digest is sha256 else [digest(norm).alias("digest")]))
+    if digest is sha256:
+        lite = lite.withColumn("digest", F.unhex("text_sha256"))
+    out = lite.join(state.select("digest", "group_size", "keep_id"), "digest", "left")
     if unlike.limit(1).count():  # digests that different texts share: their rows are grouped by the text itself
-        shared = unlike.distinct()
-        again = docs.withColumn("digest", digest(norm)).join(shared, "digest", "left_semi")
+        again = docs.withColumn("digest", digest(norm)).join(unlike, "digest", "left_semi")
         again = again.groupBy("digest", norm.alias("norm")).agg(F.count(F.lit(1)).alias("group_size"), _keep_id(F.max(_best())).alias("keep_id")).select("digest", F.sha2("norm", 256).alias("text_sha256"), "group_size", "keep_id")
-        out = out.join(shared, "digest", "left_anti").unionByName(lite.join(again, ["digest", "text_sha256"]))
+        out = out.join(unlike, "digest", "left_anti").unionByName(lite.join(again, ["digest", "text_sha256"]))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def exact_dedup(spark: SparkSession, path: str, files_per_batch: int = 1000, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Deduplicate the Parquet table at path; files_per_batch bounds a micro-batch."""
+def exact_dedup(spark: SparkSession, path: str, files_per_batch: int = 1000, digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
+    """Deduplicate the Parquet table at path; files_per_batch bounds a micro-batch.
+
+    checkpoint: a folder that all executors share, kept: another call with it takes in only files that have come since.
+    """
     docs = spark.read.parquet(path)
-    checkpoint = shared_dir(spark)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern: a plain path to a single file is refused here
-    ingest(stream.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("locator")), checkpoint, digest)
-    state_path = shared_dir(spark)
-    state_of(spark, checkpoint).write.parquet(state_path)
-    drop_files(spark, checkpoint)
+    own = checkpoint or shared_dir(spark)
+    columns = (F.col("doc_id").cast("long").alias("doc_id"), "text", locator().alias("locator"))
+    if docs.inputFiles():
+        at = path if checkpoint else f"{path[:-1]}[{path[-1]}]"  # a pattern: a plain path to a single file is refused here
+        ingest(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch).parquet(at).select(*columns), own, digest)
+    state = cut(state_of(spark, own))
+    if not checkpoint:
+        drop_files(spark, own)
     release(spark)
-    return decide(docs, spark.read.parquet(state_path), digest)
+    return decide(docs.select(*columns), state, digest)
