@@ -1,6 +1,6 @@
 """Committee votes: tally, policy, overrides, soft labels, early exit, export."""
 
-from .base import sql
+from .base import rank_relation, sql
 
 #: The policy reads a tally row: counts of ok votes by label, votes asked for, generator label.
 TOP = "CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END"
@@ -37,9 +37,6 @@ sql("pending_batches", lambda d: """WITH panel AS (SELECT DISTINCT judge FROM ve
     done AS (SELECT n.judge, CAST(floor(n.sample / 5) AS bigint) AS batch, count(*) AS size, count(v.sample) AS have FROM need n LEFT JOIN verdict v ON n.sample = v.sample AND n.judge = v.judge GROUP BY 1, 2)
     SELECT judge, batch, size - have AS missing FROM done WHERE have < size""")
 sql("verdict_rows", lambda d: "SELECT sample, judge, CASE WHEN status <> 'ok' THEN NULL WHEN label = gen THEN 1 ELSE 0 END AS agreed FROM verdict")
-sql("consensus_export", lambda d: f"""SELECT r.sample, r.final AS label, CASE WHEN {REVIEW} THEN 'flagged' WHEN row_number() OVER (PARTITION BY {REVIEW} ORDER BY md5(concat('42:', r.sample))) <= greatest(1, floor(0.1 * count(*) OVER (PARTITION BY {REVIEW}))) THEN 'val' ELSE 'train' END AS part
-    FROM {RESOLVED.replace('AS resolved', 'AS r')}""")
+rank_relation("ranked_resolved", lambda d: f"SELECT sample, final, {REVIEW} AS review, md5(concat('42:', sample)) AS h FROM {RESOLVED}", "h", by="review")
+sql("consensus_export", lambda d: "SELECT sample, final AS label, CASE WHEN review THEN 'flagged' WHEN k <= greatest(1, floor(0.1 * q)) THEN 'val' ELSE 'train' END AS part FROM ranked_resolved")
 sql("replay_checkpoint", lambda d: f"""SELECT count(*) AS samples, count(*) FILTER (WHERE NOT {REVIEW}) AS clean, count(*) FILTER (WHERE NOT {REVIEW}) >= 100 AS enough, round(avg(CASE WHEN n_ok > 0 THEN 1e0 ELSE 0e0 END), 6) AS provenance FROM {RESOLVED}""")
-sql("parse_verdicts", lambda d: f"""WITH expected(id) AS (VALUES ('a'), ('b'), ('c'), ('d')), raw(id, body) AS (VALUES ('a', '{{"verdict": "entailment"}}'), ('b', '{{"verdict": "maybe"}}'), ('d', 'oops'))
-    SELECT e.id, CASE WHEN r.id IS NULL THEN 'missing' WHEN NOT {d.matches('r.body', '^[{].*[}]$')} THEN 'parse_error' WHEN {d.extract('r.body', '"verdict": "([a-z]+)"')} IN ('entailment', 'neutral', 'contradiction') THEN 'ok' ELSE 'invalid' END AS status,
-    CASE {d.extract('r.body', '"verdict": "([a-z]+)"')} WHEN 'contradiction' THEN 0 WHEN 'entailment' THEN 1 WHEN 'neutral' THEN 2 END AS label FROM expected e LEFT JOIN raw r ON e.id = r.id""")

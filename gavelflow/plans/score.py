@@ -1,6 +1,6 @@
 """Scores on logit and probability columns; batches by token budget."""
 
-from .base import sql
+from .base import rank_relation, sql
 
 SM = "exp({0} / {1}) / (exp(z0 / {1}) + exp(z1 / {1}) + exp(z2 / {1}))"
 sql("softmax", lambda d: f"SELECT id, round({SM.format('z0', '0.7e0')}, 6) AS p0, round({SM.format('z1', '0.7e0')}, 6) AS p1, round({SM.format('z2', '0.7e0')}, 6) AS p2 FROM logit")
@@ -23,13 +23,18 @@ sql("noul_true", lambda d: "SELECT id, round(greatest(0e0, least(1e0, p1 + 0.5e0
 LEN = "least(8192, 32 + length(premise) - length(replace(premise, ' ', '')) + length(hypothesis) - length(replace(hypothesis, ' ', '')) + 2)"
 CAP = "CASE " + " ".join(f"WHEN n <= {64 << i} THEN {64 << i}" for i in range(12)) + f" ELSE {64 << 11} END"
 sql("token_lengths", lambda d: f"SELECT id, {LEN} AS n FROM pair")
-BUCKET = f"(SELECT id, n, cap, CAST(floor((row_number() OVER (PARTITION BY cap ORDER BY id) - 1) / greatest(1, floor(4096 / cap))) AS bigint) AS batch FROM (SELECT id, n, {CAP} AS cap FROM (SELECT id, {LEN} AS n FROM pair) AS a) AS b) AS t"
+rank_relation("ranked_caps", lambda d: f"SELECT id, n, {CAP} AS cap FROM (SELECT id, {LEN} AS n FROM pair) AS a", "id", value="id", by="cap")
+rank_relation("ranked_lengths", lambda d: f"SELECT id, {LEN} AS n FROM pair", "n DESC, id", value="n", falling=True)
+BUCKET = "(SELECT id, n, cap, CAST(floor((k - 1) / greatest(1, floor(4096 / cap))) AS bigint) AS batch FROM ranked_caps) AS t"
+rank_relation("ranked_batches", lambda d: f"SELECT cap, batch, md5(concat('42:1:', cap, ':', batch)) AS h FROM {BUCKET} GROUP BY cap, batch", "h")
+rank_relation("ranked_firsts", lambda d: "SELECT group_id, min(ord) AS first FROM grouped GROUP BY group_id", "first", value="first")
+rank_relation("ranked_offsets", lambda d: "SELECT CAST(floor(id / 50) AS bigint) AS batch, max(id % 7) AS local_max FROM pair GROUP BY 1", "batch", value="batch", before="offset_", adds="local_max + 1")
 sql("token_bucket", lambda d: f"SELECT id, cap, batch FROM {BUCKET}")
 sql("skip_prefix", lambda d: f"SELECT id, cap, batch FROM {BUCKET} WHERE batch >= 2")
-sql("epoch_shuffle", lambda d: f"SELECT cap, batch, row_number() OVER (ORDER BY md5(concat('42:1:', cap, ':', batch))) AS position FROM {BUCKET} GROUP BY cap, batch")
-sql("length_grouped", lambda d: f"SELECT id, n, CAST(floor((row_number() OVER (ORDER BY n DESC, id) - 1) / 8) AS bigint) AS megabatch FROM {BUCKET}")
-sql("group_compact", lambda d: "SELECT group_id, dense_rank() OVER (ORDER BY first) - 1 AS compact FROM (SELECT group_id, min(ord) AS first FROM grouped GROUP BY group_id) AS t")
-sql("group_offset", lambda d: "SELECT batch, local_max, sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) - local_max - 1 AS offset_ FROM (SELECT CAST(floor(id / 50) AS bigint) AS batch, max(id % 7) AS local_max FROM pair GROUP BY 1) AS t".replace("sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING)", "CAST(sum(local_max + 1) OVER (ORDER BY batch ROWS UNBOUNDED PRECEDING) AS bigint)"))
+sql("epoch_shuffle", lambda d: "SELECT cap, batch, k AS position FROM ranked_batches")
+sql("length_grouped", lambda d: "SELECT id, n, CAST(floor((k - 1) / 8) AS bigint) AS megabatch FROM ranked_lengths")
+sql("group_compact", lambda d: "SELECT group_id, k - 1 AS compact FROM ranked_firsts")
+sql("group_offset", lambda d: "SELECT batch, local_max, CAST(offset_ AS bigint) AS offset_ FROM ranked_offsets")
 sql("adjacency", lambda d: "SELECT a.ord AS a, a.part AS pa, b.ord AS b, b.part AS pb FROM grouped a JOIN grouped b ON a.group_id = b.group_id")
 sql("pad_multiple", lambda d: f"SELECT cap, batch, CAST(ceil(max(n) / 8e0) * 8 AS bigint) AS padded FROM {BUCKET} GROUP BY cap, batch")
 sql("left_truncate", lambda d: "SELECT id, CASE WHEN length(premise) > 60 THEN concat(substr(premise, 1, 10), substr(premise, length(premise) - 49, 50)) ELSE premise END AS text FROM pair")
@@ -41,6 +46,8 @@ TIERS = {0: 0.14, 1: 0.28, 2: 0.28, 3: 0.30}
 SPEED = "greatest(0e0, least(100e0, 100 - 20 * log10((2 * ({0}) + 0.15e0) / 0.1e0)))"
 sql("composite_score", lambda d: f"""WITH t AS (SELECT slice AS model, id % 4 AS tier, avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS acc FROM scored GROUP BY 1, 2),
     i AS (SELECT model, sum(w * 100 * acc) / sum(w) AS intelligence FROM t JOIN (VALUES {', '.join(f'({k}, {w}e0)' for k, w in TIERS.items())}) AS v(k, w) ON t.tier = v.k GROUP BY model),
-    o AS (SELECT slice AS model, abs(avg(conf) - avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END)) AS gap, {d.quantile('conf_b', 0.5)} AS p50, {d.quantile('conf_b', 0.95)} AS p95 FROM scored GROUP BY slice),
-    a AS (SELECT i.model, intelligence, 100 * (1 - gap) AS calibration, ({SPEED.format('p50')} + {SPEED.format('p95')}) / 2 AS speed, greatest(0e0, least(100e0, 100 - 30 * log10(0.02e0 / 0.001e0))) AS cost FROM i JOIN o ON i.model = o.model)
+    b AS (SELECT slice AS model, greatest(ceil(conf * 10) - 1, 0) AS bin, count(*) AS n, avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS acc, avg(conf) AS mean FROM scored WHERE id % 4 = 3 GROUP BY 1, 2),
+    e AS (SELECT model, greatest(0e0, least(100e0, 100 * (1 - sum(n * abs(acc - mean)) / sum(n) / 0.5e0))) AS calibration FROM b GROUP BY model),
+    o AS (SELECT slice AS model, {d.quantile('conf_b', 0.5)} AS p50, {d.quantile('conf_b', 0.95)} AS p95, avg(0.001e0 * (1 + id % 5)) AS usd FROM scored GROUP BY slice),
+    a AS (SELECT i.model, intelligence, calibration, ({SPEED.format('p50')} + {SPEED.format('p95')}) / 2 AS speed, greatest(0e0, least(100e0, 100 - 30 * log10(usd / 0.001e0))) AS cost FROM i JOIN o ON i.model = o.model JOIN e ON i.model = e.model)
     SELECT model, round(exp(0.25e0 * (ln(greatest(intelligence, 1e0)) + ln(greatest(calibration, 1e0)) + ln(greatest(speed, 1e0)) + ln(greatest(cost, 1e0)))), 6) AS score FROM a""")
