@@ -7,120 +7,15 @@ real rows run over whole tables.
 from .base import sql
 
 
-def rows(alias, cols, *values):
-    return f"(VALUES {', '.join(values)}) AS {alias}({cols})"
-
-
-# K options of a question: context, question, options joined by |, gold position
-MC = {
-    "conv_casehold": (rows("t", "id, ctx, q, opts, gold", "('c1', 'The court held', '', 'that it applies|that it fails|nothing', 1)", "('c2', 'In re X', '', 'a|b', 0)", "('c3', 'bad', '', 'a|b', 7)"), "ctx"),
-    "conv_race": (rows("t", "id, ctx, q, opts, gold", "('r1', 'An article', 'Who?', 'he|she|they|it', 2)", "('r2', 'Another', 'When?', 'now|then', 1)"), "concat(ctx, chr(10), q)"),
-    "conv_reclor": (rows("t", "id, ctx, q, opts, gold", "('l1', 'Premises', 'Which follows?', 'p|q|r', 0)"), "concat(ctx, chr(10), q)"),
-    "conv_logiqa": (rows("t", "id, ctx, q, opts, gold", "('g1', 'All A are B', 'So?', 'some B are A|none', 0)", "('g2', 'x', 'y', '', 0)"), "concat(ctx, chr(10), q)"),
-    "conv_pubmedqa": (rows("t", "id, ctx, q, opts, gold", "('p1', 'Abstract', 'Does it work?', 'yes|no|maybe', 2)", "('p2', 'Abstract 2', 'Is it safe?', 'yes|no|maybe', 0)"), "concat(ctx, chr(10), q)"),
-    "conv_csqa": (rows("t", "id, ctx, q, opts, gold", "('s1', '', 'Where do fish live?', 'water|desert|sky', 0)"), "q"),
-    "conv_lsat_ar": (rows("t", "id, ctx, q, opts, gold", "('a1', 'Six people sit', 'Who is third?', 'F|G|H|I|J', 4)"), "concat('Puzzle: ', ctx, chr(10), q)"),
-    "conv_strategyqa": (rows("t", "id, ctx, q, opts, gold", "('y1', 'Fact one|Fact two', 'Could it?', 'Yes|No', 1)"), "concat('- ', replace(ctx, '|', concat(chr(10), '- ')), chr(10), q)"),
-    "bench_arc": (rows("t", "id, ctx, q, opts, gold", "('k1', '', 'Which is hot?', 'ice|fire', 1)", "('k2', '', 'Bad key', 'a|b', -1)"), "q"),
-    "bench_mmlu": (rows("t", "id, ctx, q, opts, gold", "('m1', '', '2+2?', '3|4|5|22', 1)"), "q"),
-    "bench_boolq": (rows("t", "id, ctx, q, opts, gold", "('b1', 'Passage', 'is it so', 'Yes|No', 0)"), "concat(ctx, chr(10), q)"),
-    "bench_topics": (rows("t", "id, ctx, q, opts, gold", "('n1', 'Stocks fell', '', 'world|sports|business|science', 2)"), "ctx"),
-    "bench_emotion": (rows("t", "id, ctx, q, opts, gold", "('e1', 'I am so happy', '', 'sadness|joy|love|anger|fear|surprise', 1)"), "ctx"),
-    "when2call": (rows("t", "id, ctx, q, opts, gold", "('w1', 'tools: none', 'weather?', 'direct|tool_call|request_for_info|cannot_answer', 3)"), "concat(ctx, chr(10), q)"),
-    "grouped_pairs": (rows("t", "id, ctx, q, opts, gold", "('d1', 'State', 'What now?', 'wait|act', 1)"), "concat('Context: ', ctx, chr(10), 'Question: ', q)"),
-    "render_options": (rows("t", "id, ctx, q, opts, gold", "('o1', '', 'q', 'low|mid|high', 0)"), "q"),
-}
-for _name, (_from, _premise) in MC.items():
-    sql(_name, lambda d, f=_from, p=_premise: f"""SELECT concat(id, ':', i) AS id, id AS group_id, {p} AS premise, v AS hypothesis, CASE WHEN i = gold THEN 1 ELSE 0 END AS label
-        FROM {f} {d.explode(d.split('opts', '[|]'))} WHERE opts <> '' AND gold >= 0 AND gold < {d.size(d.split('opts', '[|]'))}""")
-sql("conv_aqua", lambda d: f"SELECT id, i, {d.rx('v', '^[A-E][):] *', '')} AS hypothesis, CASE WHEN i = ascii(gold) - 65 THEN 1 ELSE 0 END AS label FROM {rows('t', 'id, opts, gold', chr(40) + chr(39) + 'u1' + chr(39) + ', ' + chr(39) + 'A)21|B)30|C) 4' + chr(39) + ', ' + chr(39) + 'B' + chr(39) + ')')} {d.explode(d.split('opts', '[|]'))}")
 sql("conv_prometheus", lambda d: "SELECT id, CASE WHEN s >= 4 THEN 1 WHEN s <= 2 THEN 0 ELSE 2 END AS label FROM (SELECT id, try_cast(score AS int) AS s FROM (VALUES (1, '5'), (2, '3'), (3, '1'), (4, 'x')) AS t(id, score)) AS u WHERE s IS NOT NULL")
 sql("conv_helpsteer", lambda d: "SELECT * FROM (SELECT id, CASE WHEN correctness < 0 THEN NULL WHEN correctness >= 4 AND coherence >= 4 THEN 1 WHEN coherence >= 3 AND correctness <= 1 THEN 0 WHEN correctness IN (2, 3) THEN 2 END AS label FROM (VALUES (1, 4, 4), (2, 0, 4), (3, 2, 1), (4, 3, 4), (5, 4, 2), (6, -1, 4), (7, 1, 2)) AS t(id, correctness, coherence)) AS u WHERE label IS NOT NULL")
-P = "round(greatest(0e0, least(1e0, soft * 10)), 4)"
-sql("typed_noul", lambda d: f"SELECT ord, part, v AS option_, CASE WHEN v = 'yes' THEN {P} ELSE round(1 - {P}, 4) END AS prob FROM grouped {d.explode(d.arr(chr(39) + 'yes' + chr(39), chr(39) + 'no' + chr(39)))}")
-sql("typed_choice", lambda d: "SELECT group_id, part, is_gold, CASE WHEN is_gold = 1 THEN 0.95e0 ELSE round(0.05e0 / (kk - 1), 4) END AS prob FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS kk, row_number() OVER (PARTITION BY group_id, is_gold ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t WHERE kk > 1 AND (is_gold = 1 OR r <= 2)")
-sql("typed_score", lambda d: "SELECT group_id, part, k FROM (SELECT *, max(CASE WHEN is_gold = 1 THEN k END) OVER (PARTITION BY group_id) AS g FROM grouped) AS t WHERE abs(k - g) <= 1")
-sql("typed_ingest", lambda d: "SELECT group_id, count(*) AS options FROM grouped GROUP BY group_id")
-sql("state_premise", lambda d: f"SELECT event_id, coalesce({d.json('props', 'k')}, props) AS premise FROM events")
-sql("format_state", lambda d: "SELECT doc_id, concat('Source: ', trim(source), chr(10), chr(10), 'Doc lang: ', trim(lang)) AS state FROM documents WHERE source <> '' AND lang <> ''")
-sql("decision_from_dict", lambda d: f"SELECT id, i, chr(CAST(65 + i AS int)) AS key, v AS text FROM {rows('t', 'id, opts', chr(40) + '1, ' + chr(39) + 'red|green|blue' + chr(39) + ')')} {d.explode(d.split('opts', '[|]'))}")
-SLOT = "(SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped) AS g"
-sql("cyclic_permutations", lambda d: f"SELECT group_id, i AS shift, (slot - i + kk) % kk AS position, part, is_gold, chr(CAST(65 + (slot - i + kk) % kk AS int)) AS key FROM {SLOT} JOIN (SELECT group_id AS of_, CAST(slot AS bigint) AS i FROM {SLOT}) AS s ON of_ = group_id")
-sql("incontext_prompt", lambda d: f"SELECT group_id, concat('Question: best part?', chr(10), 'Options: ', {d.collect('part', 'slot')}, chr(10), 'Decision:') AS prompt FROM {SLOT} GROUP BY group_id")
-sql("scenario_pairs", lambda d: f"SELECT group_id, part, CASE WHEN is_gold = 1 THEN 0.88e0 ELSE round(0.12e0 / (kk - 1), 4) END AS soft FROM {SLOT} WHERE kk > 1")
-sql("remediation_pairs", lambda d: f"SELECT group_id, part, CASE WHEN is_gold = 1 THEN 0.92e0 ELSE round(0.08e0 / (kk - 1), 4) END AS soft FROM {SLOT} WHERE kk > 1")
-sql("nli_to_v2", lambda d: "SELECT id, CASE WHEN id % 2 = 0 THEN 'noul' ELSE 'choice' END AS kind, round(p1 + CASE WHEN gold = 2 THEN 0.5e0 * p2 ELSE 0e0 END, 6) AS soft_true FROM item")
-sql("group_to_v2", lambda d: f"SELECT group_id, kk AS k, {d.collect('part', 'slot')} AS options, max(CASE WHEN is_gold = 1 THEN slot END) AS gold, round(sum(soft), 6) AS mass FROM {SLOT} WHERE kk BETWEEN 2 AND 255 GROUP BY group_id, kk")
 CODE = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS int)) ELSE concat(chr(CAST(64 + floor(i / 26) AS int)), chr(CAST(65 + i % 26 AS int))) END"
 sql("lev_codes", lambda d: f"SELECT i, {CODE} AS code FROM {d.seq(255)} AS s")
 sql("option_code", lambda d: f"SELECT i, {CODE} AS code FROM {d.seq(60)} AS s")
-sql("parse_premise_hyp", lambda d: f"SELECT id, trim({d.extract('x', 'Premise: ([^;]*);')}) AS premise, trim({d.extract('x', 'Hypothesis: (.*)$')}) AS hypothesis FROM {rows('t', 'id, x', chr(40) + '1, ' + chr(39) + 'Premise: it rains; Hypothesis: it is wet' + chr(39) + ')', chr(40) + '2, ' + chr(39) + 'none' + chr(39) + ')')}")
-sql("suite_anli", lambda d: "SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'entailment' ELSE 'neutral' END AS gold, 'hard' AS slice FROM benchmark WHERE item_id % 2 = 0")
-sql("suite_contractnli", lambda d: "SELECT item_id AS id, text AS premise FROM benchmark WHERE item_id % 2 = 1")
 sql("gate_slices", lambda d: "SELECT CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'floor' WHEN source IN ('src3', 'src4', 'src5', 'src6') THEN 'medium' ELSE 'hard' END AS slice, count(*) AS n FROM pair GROUP BY 1")
-sql("ragtruth_served", lambda d: "SELECT id, concat('Context: ', premise) AS state, CASE WHEN id % 2 = 0 THEN 'The answer is supported.' ELSE 'The answer is hallucinated.' END AS hypothesis, CASE WHEN id % 2 = 0 THEN label ELSE 1 - label END AS label FROM pair WHERE label < 2")
-FILL = "(SELECT premise AS filler, row_number() OVER (ORDER BY md5(concat('7:', premise)), premise) AS r FROM (SELECT DISTINCT premise FROM pair WHERE length(premise) BETWEEN 20 AND 60) AS u) AS f"
-
-
-def haystack(d, n, keep="label <> 2"):
-    """Every premise among n fillers, chosen by rank; inserted at a depth where ``keep`` holds, else dropped."""
-    return f"""WITH fill AS (SELECT filler, r FROM {FILL} WHERE r <= 40), need AS (SELECT id, premise, label, id % {n} AS depth FROM pair),
-        para AS (SELECT n.id, f.r AS o, f.filler AS t FROM need n CROSS JOIN fill f WHERE (f.r + n.id) % 40 < {n} UNION ALL SELECT id, depth + 0.5e0 AS o, premise AS t FROM need WHERE {keep})
-        SELECT id, count(*) AS paragraphs, {d.collect('t', 'o')} AS text FROM para GROUP BY id"""
-
-
-sql("haystack", lambda d: haystack(d, 8))
-sql("haystack_simple", lambda d: haystack(d, 15, "id % 10 >= 3"))
-sql("haystack_bucketed", lambda d: haystack(d, 20))
-#: Words that flip a statement, tried in this order.
-ANTONYMS = [("increased", "decreased"), ("decreased", "increased"), ("approved", "rejected"), ("rejected", "approved"), ("before", "after"), ("after", "before"), ("allowed", "forbidden"), ("supported", "opposed")]
-
-
-def corrupt(d, x):
-    """The first whole number gets 5, 10 or 100 more (by a hash of the text); else the first antonym that occurs; else a negation in front."""
-    number = d.extract(x, "(^|[^0-9A-Za-z_])([0-9]{1,9})([^0-9A-Za-z_]|$)", 2)
-    head, rest = d.extract(x, "^(.*?(^|[^0-9A-Za-z_]))[0-9]{1,9}([^0-9A-Za-z_].*|$)", 1), d.extract(x, "^.*?(^|[^0-9A-Za-z_])[0-9]{1,9}(([^0-9A-Za-z_].*)?)$", 2)
-    add = f"CASE ascii(md5({x})) % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 100 END"
-    flips = " ".join(f"WHEN {d.matches(f'lower({x})', f'(^|[^a-z0-9_]){a}([^a-z0-9_]|$)')} THEN replace(lower({x}), '{a}', '{b}')" for a, b in ANTONYMS)
-    return f"CASE WHEN {number} <> '' THEN concat({head}, CAST(CAST(nullif({number}, '') AS bigint) + {add} AS bigint), {rest}) {flips} ELSE concat('Contrary to verified reports, it is not the case that ', lower(substr({x}, 1, 1)), substr({x}, 2)) END"
-
-
-sql("corrupt_numeric", lambda d: f"SELECT id, {corrupt(d, 'x')} AS x FROM (VALUES (1, 'It costs 5 units and 7 more'), (2, 'Sales increased in May'), (3, 'Cats sleep'), (4, '12 at the start'), (5, 'They left before noon')) AS t(id, x)")
-sql("vqa_statement", lambda d: f"""SELECT id, CASE WHEN {d.matches('q', '^what colou?r (is|are) ')} THEN concat('The ', {d.rx('q', '^what colou?r (is|are) (the )?', '')}, ' is ', a, '.') WHEN q LIKE 'how many %' THEN concat('There are ', a, ' ', trim({d.rx(d.rx('q', '^how many ', ''), ' (are|is|can|do|does|there|in|on|the|this|that|photo|picture|image)( .*)?$', '')}), ' in the image.')
-    WHEN kind = 'yes/no' AND {d.matches('q', '^(is|are|was|were) [^ ]+ .+$')} THEN concat(upper(substr({d.extract('q', '^[a-z]+ ([^ ]+) ')}, 1, 1)), substr({d.extract('q', '^[a-z]+ ([^ ]+) ')}, 2), ' ', {d.extract('q', '^([a-z]+) ')}, ' ', {d.extract('q', '^[a-z]+ [^ ]+ (.+)$')}, '.') ELSE concat('In this image, the answer to "', q, '?" is ', a, '.') END AS s
-    FROM (VALUES (1, 'is it red', 'yes', 'yes/no'), (2, 'how many dogs are there', '2', 'number'), (3, 'what color is the car', 'blue', 'other'), (4, 'where is he', 'home', 'other')) AS t(id, q, a, kind)""")
-sql("scene_claims", lambda d: "SELECT vec_id, v.label, CASE v.label WHEN 1 THEN concat('The object is of kind ', e.label) WHEN 0 THEN concat('The object is of kind ', (e.label + 1) % 10) ELSE 'The object is old' END AS claim FROM embeddings e CROSS JOIN (VALUES (1), (0), (2)) AS v(label)")
-sql("chart_claims", lambda d: "SELECT l_returnflag AS bar, n, n = max(n) OVER () AS tallest, n + 1 AS mutated FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag) AS t")
 sql("multipage_premise", lambda d: f"SELECT conv_id, {d.collect(chr(99) + 'oncat(' + chr(39) + '[page ' + chr(39) + ', turn, ' + chr(39) + '] ' + chr(39) + ', text)', 'turn')} AS premise FROM (SELECT DISTINCT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) AS c GROUP BY conv_id")
 sql("snli_ve", lambda d: "SELECT id, CASE label WHEN 0 THEN 'contradiction' WHEN 1 THEN 'entailment' ELSE 'neutral' END AS label, concat('image_', id, '.png') AS image FROM pair")
-sql("trajectory_pairs", lambda d: "SELECT conv_id, turn, next_ AS action, 1 AS label FROM (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS next_ FROM conversations) AS t WHERE next_ IS NOT NULL UNION ALL SELECT c.conv_id, c.turn, o.text AS action, 2 AS label FROM conversations c JOIN conversations o ON o.conv_id = c.conv_id + 1 AND o.turn = c.turn AND o.role = c.role")
-sql("episode_encode", lambda d: f"SELECT conv_id, i + 1 AS prefix, count(*) AS turns FROM conversations CROSS JOIN {d.seq(8)} AS s WHERE turn <= i GROUP BY conv_id, i")
-sql("systemone_format", lambda d: f"SELECT group_id, concat('Choose: ', {d.collect('concat(chr(CAST(65 + slot AS int)), chr(41), part)', 'slot')}) AS prompt FROM {SLOT} GROUP BY group_id")
-sql("bench_winogrande", lambda d: f"SELECT id, i, replace(s, '_', v) AS hypothesis, CASE WHEN i = gold THEN 1 ELSE 0 END AS label FROM {rows('t', 'id, s, opts, gold', chr(40) + '1, ' + chr(39) + 'The _ is big' + chr(39) + ', ' + chr(39) + 'cup|box' + chr(39) + ', 1)')} {d.explode(d.split('opts', '[|]'))}")
 sql("bench_grade", lambda d: "SELECT count(*) AS n, round(avg(CASE WHEN (p1 >= 0.35e0) = (gold = 1) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM item")
-sql("teacher_ingest", lambda d: "SELECT id, premise, hypothesis, try_cast(label AS int) AS label FROM (VALUES (1, 'a', 'b', '1'), (2, 'a', '', '0'), (3, 'c', 'd', 'x'), (4, 'e', 'f', '7')) AS t(id, premise, hypothesis, label) WHERE premise <> '' AND hypothesis <> '' AND try_cast(label AS int) BETWEEN 0 AND 2")
-sql("robust_parse", lambda d: f"SELECT id, {d.extract('x', '[{]([^{}]*)[}]')} AS inner_, CASE WHEN x LIKE '[%]' THEN 'list' WHEN x LIKE '%{{%}}%' THEN 'object' ELSE 'salvage' END AS tier FROM (VALUES (1, '[1]'), (2, 'text {{\"a\": 1}} tail'), (3, 'nothing')) AS t(id, x)")
 
 # canned generators: arithmetic over a counter, distractors distinct by construction
-sql("gen_sla_deadline", lambda d: f"SELECT i, CAST(floor((i * 37 % 2400) / 480) AS bigint) AS work_days, (i * 37) % 480 AS minutes_left, CAST(floor((i * 37 % 2400) / 480) AS bigint) + CASE WHEN i % 5 + floor((i * 37 % 2400) / 480) >= 5 THEN 2 ELSE 0 END AS calendar_days FROM {d.seq(200)} AS s")
-sql("gen_timezone_span", lambda d: f"SELECT i, (i * 13) % 24 * 60 AS local_minutes, ((i % 5) - 2) * 60 AS offset_minutes, (i * 13) % 24 * 60 - ((i % 5) - 2) * 60 AS span, (i * 13) % 24 * 60 - ((i % 5) - 2) * 60 + 90 AS wrong FROM {d.seq(200)} AS s")
-sql("gen_tiered_pricing", lambda d: f"SELECT i, u, round(least(u, 100) * 0.5e0 + greatest(0, least(u, 500) - 100) * 0.3e0 + greatest(0, u - 500) * 0.2e0, 2) AS bill, round(u * 0.2e0, 2) AS flat3, round(u * 0.5e0, 2) AS flat1 FROM (SELECT i, (i * 97) % 1000 AS u FROM {d.seq(200)} AS s) AS t")
-sql("gen_bayes", lambda d: f"SELECT i, round(s * p / (s * p + f * (1 - p)), 6) AS posterior, s AS sensitivity, round(s - f, 6) AS gap, f AS fpr FROM (SELECT i, 0.8e0 + (i % 20) / 100e0 AS s, 0.01e0 + (i % 10) / 100e0 AS f, 0.001e0 * (1 + i % 50) AS p FROM {d.seq(200)} AS q) AS t")
-sql("gen_emv", lambda d: f"SELECT i, round(pa * 1000 - 100, 2) AS a, round((1 - pa) * 800 - 50, 2) AS b, CASE WHEN pa * 1000 - 100 >= (1 - pa) * 800 - 50 THEN 'A' ELSE 'B' END AS best FROM (SELECT i, (i % 100) / 100e0 AS pa FROM {d.seq(200)} AS s) AS t")
 sql("scenario_merge", lambda d: f"SELECT family, count(*) AS n FROM (SELECT i, i % 4 AS family FROM {d.seq(100)} AS s) AS new_ WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = new_.i AND o.doc_id % 3 = 0) GROUP BY family")
-sql("gen_long_doc", lambda d: f"SELECT i, greatest(0, least(c, 5000) - 250) AS payable, c AS gross, least(c, 5000) AS capped FROM (SELECT i, 100 + (i * 311) % 9000 AS c FROM {d.seq(200)} AS s) AS t")
-TRIPLE = "SELECT s.i, v.label, concat('record ', s.i, ': ', m.a, CASE v.label WHEN 1 THEN ' is stated' WHEN 0 THEN ' is denied' ELSE ' is open' END) AS hypothesis FROM {seq} AS s JOIN (VALUES {dim}) AS m(k, a) ON s.i % {n} = m.k CROSS JOIN (VALUES {labels}) AS v(label)"
-for _name, _dims, _labels in (
-    ("gen_p4_ambiguous", ["the term", "the fee", "the date", "the party", "the scope"], "(1), (0), (2)"), ("gen_p4_tradeoff", ["cost over speed", "safety over cost", "speed over scope"], "(1), (0), (2)"),
-    ("gen_routing", ["billing", "support", "sales", "legal"], "(1), (0)"), ("gen_judge_hard", ["a sum", "a proof", "a unit", "a bound"], "(1), (0)"), ("gen_policy", ["a refund", "a return", "an upgrade"], "(1), (0)"), ("gen_tradeoff", ["latency", "accuracy"], "(1), (0)"),
-    ("gen_p4_long_policy", ["leave", "travel", "expenses", "security", "conduct"], "(1), (0), (2)"), ("gen_p4_multi_hop", ["A to C", "B to D", "A to D"], "(1), (0), (2)"),
-    ("mode_tool_routing", ["search", "calendar", "mail"], "(1), (0), (2)"), ("mode_rubric", ["clarity", "depth"], "(1), (0), (2)"), ("mode_search", ["query one", "query two"], "(1), (0), (2)"), ("mode_cloze", ["the gap"], "(1), (0), (2)"), ("mode_rag", ["the source"], "(1), (0), (2)"), ("mode_counterfactual", ["a number", "a polarity"], "(1), (0)"), ("mode_abstention", ["gold", "none of these"], "(1), (2)"),
-):
-    sql(_name, lambda d, m=_dims, y=_labels: TRIPLE.format(seq=d.seq(120), dim=", ".join(f"({k}, '{a}')" for k, a in enumerate(m)), n=len(m), labels=y))
-sql("gen_p4_numeric", lambda d: f"SELECT i, CAST(date_add(DATE '2026-01-15', CAST(15 * (1 + i % 4) AS int)) AS varchar(10)) AS notice FROM {d.seq(100)} AS s" if d.name == "spark" else f"SELECT i, CAST(CAST(DATE '2026-01-15' + CAST(15 * (1 + i % 4) AS int) AS date) AS varchar) AS notice FROM {d.seq(100)} AS s")
-sql("spatial_claims", lambda d: "SELECT vec_id, CASE WHEN label < 4 THEN 'left' WHEN label < 7 THEN 'middle' ELSE 'right' END AS third, count(*) OVER (PARTITION BY label) AS same FROM embeddings")
-sql("doc_claims", lambda d: "SELECT o_orderkey, v.label, CASE v.label WHEN 1 THEN o_orderstatus WHEN 0 THEN concat('not ', o_orderstatus) ELSE 'unknown' END AS claim FROM orders CROSS JOIN (VALUES (1), (0), (2)) AS v(label)")
-sql("table_claims", lambda d: "SELECT n_regionkey, count(*) AS truth, count(*) + 1 AS mutated, min(n_name) AS first_name FROM nation GROUP BY n_regionkey")
-sql("vqa_rows", lambda d: "SELECT sample, CASE WHEN greatest(c0, c1, c2) < 2 THEN 2 WHEN c1 >= c0 THEN 1 ELSE 0 END AS label FROM tally")
-sql("agentic_calls", lambda d: f"SELECT event_id, v AS variant, CASE v WHEN 'positive' THEN 1 WHEN 'missing_arg' THEN 2 ELSE 0 END AS label FROM events {d.explode(d.arr(*[chr(39) + x + chr(39) for x in ('positive', 'wrong_name', 'wrong_arg', 'missing_arg')]))}")
-sql("state_predicates", lambda d: "SELECT c_nationkey, count(*) AS have, count(*) >= 50 AS enough, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) = 0 AS none_negative FROM customer GROUP BY c_nationkey")

@@ -28,4 +28,3 @@ def _mcnemar(spark, sf):
 query("group_pack", lambda spark, sf: group_pack(_sql(spark, sf, "SELECT group_id, ord, CAST(qty AS int) AS n, CAST(group_id % 16 AS int) AS shard FROM grouped"), "group_id", "ord", "n", 2048, "shard"))
 query("temperature_fit", lambda spark, sf: temperature_fit(_sql(spark, sf, "SELECT gold, z0, z1, z2 FROM logit")))
 query("mcnemar_mixed", _mcnemar)
-query("counterfactual", lambda spark, sf: _sql(spark, sf, "SELECT id, CASE WHEN regexp_like(hypothesis, '[0-9]') THEN regexp_replace(hypothesis, '[0-9]+', '7') ELSE concat('It is not so that ', hypothesis) END AS flipped FROM pair WHERE hypothesis <> ''"))
