@@ -12,7 +12,11 @@ def group_pack(df: DataFrame, group: str, order: str, length: str, budget: int,
 
     The greedy pass is sequential, so it runs per shard over units, not rows; a unit over the budget gets a batch of its own.
     """
-    units = df.groupBy(group).agg(F.max(length).alias("longest"), F.count(F.lit(1)).alias("size"), F.min(order).alias("first"), (F.first(shard) if shard else F.lit(0)).alias("shard"))
+    # null, -1 and the empty text say that a row is in no group
+    kind = dict(df.dtypes)[group]
+    alone = F.col(group).isNull() | F.col(group).cast("string").isin("-1", "")
+    df = df.withColumn("__unit", F.when(alone, F.concat(F.lit("row:"), F.col(order).cast("string"))).otherwise(F.concat(F.lit("group:"), F.col(group).cast("string"))))
+    units = df.groupBy("__unit").agg(F.first(group).alias(group), F.max(length).alias("longest"), F.count(F.lit(1)).alias("size"), F.min(order).alias("first"), (F.first(shard) if shard else F.lit(0)).alias("shard"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["longest", "first"], ascending=[False, True])
@@ -22,9 +26,9 @@ def group_pack(df: DataFrame, group: str, order: str, length: str, budget: int,
                 batch, rows, most = batch + 1, 0, 0
             rows, most = rows + size, max(most, longest)
             out.append(batch)
-        return t.assign(batch=out)[[group, "shard", "batch"]]
+        return t.assign(batch=out)[[group, "first", "shard", "batch"]]
 
-    return units.groupBy("shard").applyInPandas(run, f"{group} {dict(units.dtypes)[group]}, shard int, batch long")
+    return units.groupBy("shard").applyInPandas(run, f"{group} {kind}, first {dict(df.dtypes)[order]}, shard int, batch long")
 
 
 def temperature_fit(logits: DataFrame, lo: float = 0.05, hi: float = 10.0, points: int = 33, rounds: int = 3) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from gavelflow.operators import clean as C
 from gavelflow.sources.readers import resolve_columns
 
-from .base import query, sql
+from .base import DUCK, SPARK, expand, query, spark_sql, sql
 
 #: Label vocabularies.
 LABELS = "CASE lower(trim({0})) WHEN 'contradiction' THEN 0 WHEN 'refutes' THEN 0 WHEN '0' THEN 0 WHEN 'entailment' THEN 1 WHEN 'supports' THEN 1 WHEN '1' THEN 1 WHEN 'neutral' THEN 2 WHEN 'not enough info' THEN 2 WHEN '2' THEN 2 END"
@@ -37,12 +38,10 @@ sql("bucket_route", lambda d: f"SELECT {ROUTE} AS bucket, count(*) AS n FROM pai
 sql("drop_rule", lambda d: "SELECT id FROM pair WHERE NOT (coalesce(source, '') = 'src3' AND coalesce(label, -1) = 0)")
 sql("banned_split", lambda d: "SELECT u.repo, u.split, b.repo IS NOT NULL AS banned FROM (VALUES ('x', 'test'), ('x', 'train'), ('y', 'any'), ('z', 'train')) AS u(repo, split) LEFT JOIN (VALUES ('x', 'test'), ('y', '*')) AS b(repo, split) ON u.repo = b.repo AND (b.split = '*' OR u.split = b.split)")
 sql("review_filter", lambda d: "SELECT sample FROM verdict WHERE NOT coalesce(status <> 'ok', false)")
-sql("image_path_rewrite", lambda d: f"SELECT id, concat('images/', {d.rx('p', '^.*images/', '')}) AS path FROM (VALUES (1, 'a.png'), (2, '/data/images/b.png'), (3, 'x/images/y/images/c.png')) AS t(id, p)")
+sql("image_path_rewrite", lambda d: f"SELECT page_id, concat('images/', {d.rx('p', '^.*images/', '')}) AS path FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(page_id, '.png') WHEN 1 THEN concat('/data/images/', page_id, '.png') ELSE concat(url, '/images/y/images/', page_id, '.png') END AS p FROM pages) AS t")
 sql("text_only_filter", lambda d: "SELECT page_id FROM pages WHERE html NOT LIKE '%<img%'")
 #: The prompt boundaries that a text must not contain as such.
-sql("sanitize_delims", lambda d: "SELECT doc_id, replace(replace(replace(text, concat(chr(10), 'Prediction:'), concat(chr(10), ' Prediction:')), 'Reference answer:', concat('Reference answer', chr(92), ':')), 'Candidate answer:', concat('Candidate answer', chr(92), ':')) AS x FROM (SELECT doc_id, concat(substr(text, 1, 40), chr(10), 'Prediction: 1 Reference answer: 2 Candidate answer: 3') AS text FROM documents) AS t")
-sql("validate_decision", lambda d: f"""SELECT id, CASE WHEN count(*) > 20 THEN 'too many options' WHEN count(DISTINCT v) < count(*) THEN 'duplicate options' WHEN min(gold) >= count(*) THEN 'gold out of range' ELSE 'ok' END AS reason,
-    max(CASE WHEN i = gold THEN chr(CAST(65 + i AS int)) END) AS gold_key FROM {DECISIONS} {d.explode(d.split('opts', '[|]'))} GROUP BY id""")
+sql("sanitize_delims", lambda d: "SELECT doc_id, replace(replace(replace(text, concat(chr(10), 'Prediction:'), concat(chr(10), ' Prediction:')), 'Reference answer:', concat('Reference answer', chr(92), ':')), 'Candidate answer:', concat('Candidate answer', chr(92), ':')) AS x FROM (SELECT doc_id, concat(text, chr(10), 'Prediction: 1 Reference answer: 2 Candidate answer: 3') AS text FROM documents) AS t")
 sql("dup_texts", lambda d: f"SELECT id, v AS text FROM {DECISIONS} {d.explode(d.split('opts', '[|]'))} GROUP BY id, v HAVING count(*) > 1")
 sql("length_predicate", lambda d: "SELECT id FROM pair WHERE length(premise) >= 50 AND lower(hypothesis) LIKE '%license%'")
 query("detect_columns", lambda spark, sf: resolve_columns(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").alias("Context"), F.col("source").alias("CLAIM"), F.col("n_chars").alias("Label"), "doc_id")), "SELECT text AS premise, source AS hypothesis, n_chars AS label, doc_id FROM documents")
@@ -57,27 +56,40 @@ KEYS = {
     "key_prefix200": lambda d: "concat(substr(lower(trim(premise)), 1, 200), chr(31), substr(lower(trim(hypothesis)), 1, 200))",
     "key_lower_bar": lambda d: "concat(lower(trim(coalesce(nullif(premise, ''), source))), ' ||| ', lower(trim(coalesce(nullif(hypothesis, ''), language))))",
     "key_field_sha": lambda d: f"concat({d.sha256('premise')}, ':', {d.sha256('hypothesis')})",
-    "content_id": lambda d: """concat('decision_', substr(sha1(concat('{"hypothesis":"', hypothesis, '","premise":"', premise, '"}')), 1, 10))""",
+    "content_id": lambda d: f"concat('decision_', substr(sha1({d.object(hypothesis='hypothesis', premise='premise')}), 1, 10))",
     "template_signature": lambda d: f"coalesce(nullif(substr({norm(d, 'hypothesis')}, 1, 100), ''), nullif(substr({norm(d, 'premise')}, 1, 100), ''), '<none>')",
 }
 for _name, _key in KEYS.items():
     sql(_name, lambda d, k=_key: f"SELECT id, {k(d)} AS key FROM pair")
 MD5_MOD = " + ".join(f"(ascii(substr(m, {i}, 1)) - CASE WHEN substr(m, {i}, 1) >= 'a' THEN 87 ELSE 48 END) * {pow(16, 32 - i, 10)}" for i in range(1, 33))
 sql("hash_holdout", lambda d: f"SELECT id, ({MD5_MOD}) % 10 = 0 AS held_out FROM (SELECT id, md5({KEYS['key_norm_sha1'](d)}) AS m FROM pair) AS k")
-sql("resume_fingerprint", lambda d: f"SELECT substr({d.sha256(d.collect('concat(id, label)', 'id'))}, 1, 16) AS fingerprint FROM pair")
+# two levels, so that no task holds the whole table: digests of thousands of rows, then a digest of these
+sql("resume_fingerprint", lambda d: f"SELECT substr({d.sha256(d.collect('part', 'bucket'))}, 1, 16) AS fingerprint FROM (SELECT CAST(floor(id / 1000) AS bigint) AS bucket, {d.sha256(d.collect('concat(id, label)', 'id'))} AS part FROM pair GROUP BY 1) AS b")
 
 # dedup
-FIRST = lambda key, table="pair": f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ord) AS n FROM {table}) AS _f WHERE n = 1)"
-sql("dedupe_first", lambda d: f"SELECT id, source FROM {FIRST('lower(premise), lower(hypothesis)')} AS f")
-sql("dedupe_split", lambda d: f"""WITH k AS (SELECT *, {KEYS['key_norm_sha1'](d)} AS key, id % 10 = 3 AS val FROM pair), f AS (SELECT *, row_number() OVER (PARTITION BY val, key ORDER BY ord) AS n FROM k)
-    SELECT CASE WHEN val THEN 'val' ELSE 'train' END AS part, count(*) AS kept FROM f WHERE n = 1 AND NOT (val AND EXISTS (SELECT 1 FROM k t WHERE NOT t.val AND t.key = f.key)) GROUP BY 1""")
-sql("stage2_clean", lambda d: """WITH test AS (SELECT DISTINCT premise, hypothesis FROM pair WHERE id % 10 = 3), tp AS (SELECT DISTINCT premise FROM test),
-    r AS (SELECT p.id, CASE WHEN t.premise IS NOT NULL THEN 'pair in test' WHEN q.premise IS NOT NULL AND p.source <> 'src5' THEN 'premise in test' ELSE 'kept' END AS reason
-          FROM (SELECT * FROM pair WHERE id % 10 <> 3) AS p LEFT JOIN test t ON p.premise = t.premise AND p.hypothesis = t.hypothesis LEFT JOIN tp q ON p.premise = q.premise)
-    SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+sql("dedupe_first", lambda d: f"SELECT id, source FROM {d.earliest('pair', 'lower(premise), lower(hypothesis)', 'ord')} AS f")
+
+
+def _pairs(spark, sf, where):
+    return spark_sql(spark, sf, expand(f"SELECT id, premise, hypothesis, source, ord FROM pair WHERE {where}", SPARK))
+
+
+# a train and a validation part, with the source in place of a picture
+query(
+    "dedupe_split", lambda spark, sf: C.dedupe_split(_pairs(spark, sf, "id % 10 <> 3"), _pairs(spark, sf, "id % 10 = 3"), "ord", C.pair_key(image="source")).groupBy("part").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")),
+    expand(f"""WITH k AS (SELECT ord, CASE WHEN id % 10 = 3 THEN 'val' ELSE 'train' END AS part, {KEYS['key_norm_sha1'](DUCK)} || chr(31) || source AS key FROM pair), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, ord) AS n FROM k)
+    SELECT part, count(*) FILTER (n = 1) AS kept, count(*) FILTER (n > 1) AS dropped FROM f GROUP BY part""", DUCK),
+)
+query(
+    "stage2_clean", lambda spark, sf: C.clean_stage(_pairs(spark, sf, "id % 10 NOT IN (3, 4)"), _pairs(spark, sf, "id % 10 = 4"), _pairs(spark, sf, "id % 10 = 3"), "ord", "src5").groupBy("part", "outcome").agg(F.count(F.lit(1)).alias("n")),
+    expand("""WITH k AS (SELECT ord, source, trim(premise) AS p, trim(hypothesis) AS h, CASE id % 10 WHEN 3 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS part FROM pair),
+    r AS (SELECT *, EXISTS (SELECT 1 FROM k t WHERE t.part = 'test' AND t.p = k.p AND t.h = k.h) OR (source <> 'src5' AND EXISTS (SELECT 1 FROM k t WHERE t.part = 'test' AND t.p = k.p)) AS over FROM k WHERE part <> 'test'),
+    s AS (SELECT *, row_number() OVER (PARTITION BY part, over, p, h ORDER BY ord) AS n FROM r)
+    SELECT part, CASE WHEN over THEN 'test overlap' WHEN part = 'val' AND EXISTS (SELECT 1 FROM r t WHERE t.part = 'train' AND NOT t.over AND t.p = s.p AND t.h = s.h) THEN 'train overlap' WHEN n > 1 THEN 'internal duplicate' ELSE 'kept' END AS outcome, count(*) AS n FROM s GROUP BY 1, 2""", DUCK),
+)
 sql("forbidden_antijoin", lambda d: f"WITH k AS (SELECT *, {KEYS['key_prefix512'](d)} AS key FROM pair) SELECT id FROM k WHERE id % 10 <> 3 AND NOT EXISTS (SELECT 1 FROM k f WHERE f.id % 10 = 3 AND f.key = k.key)")
 sql("avoid_prior", lambda d: "SELECT p.id FROM pair p WHERE p.source <> 'src2' OR NOT EXISTS (SELECT 1 FROM pair q WHERE q.source = 'src3' AND q.premise = p.premise)")
-sql("arm_synth_filter", lambda d: f"WITH s AS (SELECT * FROM {FIRST('premise, hypothesis', '(SELECT * FROM pair WHERE id % 4 = 0) AS x')} AS f) SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.id % 4 <> 0 AND p.premise = s.premise AND p.hypothesis = s.hypothesis)")
+sql("arm_synth_filter", lambda d: f"WITH s AS (SELECT * FROM {d.earliest('(SELECT * FROM pair WHERE id % 4 = 0)', 'premise, hypothesis', 'ord')} AS f) SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.id % 4 <> 0 AND p.premise = s.premise AND p.hypothesis = s.hypothesis)")
 sql("fresh_filter", lambda d: "SELECT p.id FROM pair p WHERE p.id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM pair q WHERE q.id % 4 = 2 AND q.premise = p.premise) AND NOT EXISTS (SELECT 1 FROM pair q WHERE q.id % 4 = 3 AND q.premise = p.premise)")
 sql("exact_overlap_audit", lambda d: f"SELECT count(*) AS shared, count(*) > 0 AS failed FROM (SELECT {d.sha256('premise')} AS k FROM pair WHERE id % 2 = 0 INTERSECT SELECT {d.sha256('premise')} AS k FROM pair WHERE id % 2 = 1) AS x")
 sql("author_novelty", lambda d: "SELECT CAST(floor(id / 100) AS bigint) AS batch, count(*) AS accepted, round(count(DISTINCT premise) / count(*), 6) AS uniqueness FROM pair p WHERE NOT EXISTS (SELECT 1 FROM pair q WHERE q.ord < p.ord AND q.premise = p.premise) GROUP BY 1")

@@ -21,7 +21,7 @@ def _reference(spark, sf_dir):
 
 WS = "list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: w <> '')"
 ALNUM = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-PUNCT = r"list_transform(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))"
+PUNCT = r"""list_transform(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[.,;:!?"''()\[\]{}]+|[.,;:!?"''()\[\]{}]+$', '', 'g'))"""
 
 
 def grams(table, key, words, n):
@@ -41,15 +41,14 @@ query("ngram8_ws", _count(D.ws_words), counts("documents", "doc_id", WS, 8))
 query("ngram8_word", _count(D.word_words, table="benchmark", key="item_id"), counts("benchmark", "item_id", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')", 8))
 query("ngram8_punct", _count(D.punct_words), counts("documents", "doc_id", PUNCT, 8))
 query("ngram_reference", lambda spark, sf: _reference(spark, sf), f"SELECT DISTINCT gram FROM ({grams('benchmark', 'item_id', WS, 8)})")
-query("decontam_row", lambda spark, sf: D.decontaminate(_docs(spark, sf), "doc_id", _reference(spark, sf)).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({LEAK})")
-query("decontam_group", lambda spark, sf: D.decontaminate_groups(_docs(spark, sf).withColumn("grp", F.floor(F.col("doc_id") / 4)), "doc_id", "grp", _reference(spark, sf)).select("doc_id", "grp"), f"SELECT doc_id, CAST(floor(doc_id / 4) AS bigint) AS grp FROM documents WHERE CAST(floor(doc_id / 4) AS bigint) NOT IN (SELECT CAST(floor(doc_id / 4) AS bigint) FROM ({LEAK}))")
+query("decontam_row", lambda spark, sf: D.decontaminate(_t(spark, sf, "documents"), "doc_id", _t(spark, sf, "benchmark"), D.ws_words, 8).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({LEAK})")
+query("decontam_group", lambda spark, sf: D.decontaminate_groups(_t(spark, sf, "documents").withColumn("grp", F.floor(F.col("doc_id") / 4)), "doc_id", "grp", _t(spark, sf, "benchmark"), D.ws_words, 8).select("doc_id", "grp"), f"SELECT doc_id, CAST(floor(doc_id / 4) AS bigint) AS grp FROM documents WHERE CAST(floor(doc_id / 4) AS bigint) NOT IN (SELECT CAST(floor(doc_id / 4) AS bigint) FROM ({LEAK}))")
 query("shingle5", _count(D.alnum_words, 5, True), f"SELECT doc_id, CASE WHEN len({ALNUM}) BETWEEN 1 AND 4 THEN 1 ELSE n END AS n FROM documents JOIN ({counts('documents', 'doc_id', ALNUM, 5)}) USING (doc_id)")
 
 
 def _overlap(spark, sf):
-    q = _docs(spark, sf, D.alnum_words, 5, True, "benchmark", "item_id")
-    s = _docs(spark, sf, D.alnum_words, 5, True)
-    return D.overlap(q, s, "item_id", "doc_id").withColumn("flagged", F.col("jaccard") >= 0.8).orderBy(F.desc("jaccard"), "item_id").limit(10)
+    best = D.overlap(_t(spark, sf, "benchmark"), _t(spark, sf, "documents"), "item_id", "doc_id", D.alnum_words, 5)
+    return best.withColumn("flagged", F.col("jaccard") >= 0.8).orderBy(F.desc("jaccard"), "item_id").limit(10)
 
 
 def _sh(table, key):

@@ -36,7 +36,7 @@ def round_trip(write, read):
 
 
 query("scan_jsonl", round_trip(S.jsonl, lambda s, p: R.jsonl(s, p, PAIR)), SQL)
-query("scan_json", round_trip(lambda df, p: df.groupBy((F.col("id") % 8).alias("k")).agg(F.collect_list(F.struct("id", "source", "label")).alias("data")).select("data").repartition(8).write.option("maxRecordsPerFile", 1).json(p), lambda s, p: R.json_document(s, p, PAIR)), SQL)
+query("scan_json", round_trip(lambda df, p: df.groupBy(F.floor(F.col("id") / 1000).alias("k")).agg(F.collect_list(F.struct("id", "source", "label")).alias("data")).select("data").write.option("maxRecordsPerFile", 1).json(p), lambda s, p: R.json_document(s, p, PAIR)), SQL)
 query("scan_csv_tsv", round_trip(lambda df, p: df.write.option("header", True).option("sep", "\t").csv(p), lambda s, p: R.delimited(s, p, "id string, source string, label string", "\t")), SQL.replace("d.doc_id AS id", "CAST(d.doc_id AS varchar) AS id").replace("coalesce(l.quality, 2)", "CAST(coalesce(l.quality, 2) AS varchar)"))
 query("scan_parquet", round_trip(S.columnar, lambda s, p: s.read.schema(PAIR).parquet(p)), SQL)
 query("scan_gzip_jsonl", round_trip(lambda df, p: S.jsonl(df, p, gzip=True), lambda s, p: R.jsonl(s, p, PAIR).where("label = 1")), f"SELECT * FROM ({SQL}) WHERE label = 1")
@@ -44,7 +44,10 @@ query("scan_limit", round_trip(S.columnar, lambda s, p: s.read.schema(PAIR).parq
 query("scan_resilient", round_trip(lambda df, p: df.select(F.when(F.col("id") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("id", "source", "label")))).write.text(p), lambda s, p: R.jsonl(s, p, PAIR)), f"SELECT * FROM ({SQL}) WHERE id % 9 <> 0")
 query("scan_optional", lambda spark, sf: R.optional(spark, f"{sf}/no_such_table.parquet", PAIR), f"SELECT * FROM ({SQL}) WHERE false")
 query("scan_required", lambda spark, sf: R.required(spark, f"{sf}/region.parquet", "r_regionkey int, r_name string"), "SELECT r_regionkey, r_name FROM region")
-query("scan_columnar_hub", lambda spark, sf: spark.read.parquet(f"{sf}/nation.parquet").orderBy(F.md5(F.concat(F.lit("42:"), F.col("n_nationkey").cast("string")))), "SELECT * FROM nation")
+query(
+    "scan_columnar_hub", lambda spark, sf: R.hub(spark, f"{sf}/customer.parquet", "c_custkey", "validation").select("c_custkey", "c_name", "place"),
+    "SELECT c_custkey, c_name, md5(concat('42:', c_custkey)) AS place FROM customer WHERE CAST(concat('0x', substr(md5(concat('split:', c_custkey)), 1, 7)) AS bigint) % 10 = 0",
+)
 query("scan_parts", round_trip(lambda df, p: df.write.partitionBy("label").json(p), lambda s, p: s.read.schema(PAIR).json(p).orderBy("label", "id")), SQL)
 query("scan_sql_table", lambda spark, sf: spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_name"), "SELECT s_suppkey, s_name FROM supplier")
 query("file_sha", lambda spark, sf: R.file_hashes(spark, f"{sf}/region.parquet"))

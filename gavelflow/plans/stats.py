@@ -1,6 +1,10 @@
 """Evaluation statistics. Each variant has its own key; none are merged."""
 
-from .base import sql
+from pyspark.sql import functions as F
+
+from gavelflow.operators import evaluate as E
+
+from .base import DUCK, SPARK, expand, query, rank_relation, spark_sql, sql
 
 Y = "CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END"
 YB = "CASE WHEN pred_b = gold THEN 1e0 ELSE 0e0 END"
@@ -27,18 +31,22 @@ def ece(bins, lo="ceil(conf * {n}) - 1", clamp=True):
     return f"""SELECT round(sum(n * abs(acc - c)) / sum(n), 6) AS ece, count(*) AS used FROM (SELECT {b} AS b, count(*) AS n, avg({Y}) AS acc, avg(conf) AS c FROM scored WHERE conf {'>=' if clamp else '>'} 0 GROUP BY 1) AS x"""
 
 
-sql("ece_closed15", lambda d: ece(15))
-sql("ece_closed10", lambda d: ece(10))
-sql("ece_open10", lambda d: ece(10, clamp=False))
-sql("ece_open15", lambda d: ece(15, clamp=False))
-sql("ece_third15", lambda d: ece(15, "least(floor((greatest(conf, 1e0 / 3) - 1e0 / 3) / (2e0 / 3 / {n})), {n} - 1)"))
-sql("ece_dist10", lambda d: ece(10, "least(floor(conf * {n}), {n} - 1)").replace(", 6) AS ece", ", 4) AS ece"))
+def scored(spark, sf):
+    return spark_sql(spark, sf, expand("SELECT slice, conf, pred = gold AS hit FROM scored", SPARK))
+
+
+for _name, _bins, _rule, _digits, _oracle in (
+    ("ece_closed15", 15, E.bin_closed, 6, ece(15)), ("ece_closed10", 10, E.bin_closed, 6, ece(10)), ("ece_open10", 10, E.bin_open, 6, ece(10, clamp=False)), ("ece_open15", 15, E.bin_open, 6, ece(15, clamp=False)),
+    ("ece_third15", 15, E.bin_third, 6, ece(15, "least(floor((greatest(conf, 1e0 / 3) - 1e0 / 3) / (2e0 / 3 / {n})), {n} - 1)")), ("ece_dist10", 10, E.bin_floor, 4, ece(10, "least(floor(conf * {n}), {n} - 1)").replace(", 6) AS ece", ", 4) AS ece")),
+):
+    query(_name, lambda spark, sf, n=_bins, r=_rule, k=_digits: E.ece(scored(spark, sf), "conf", F.col("hit"), n, r, digits=k), expand(_oracle, DUCK))
 BRIER = "(p0 - CASE WHEN gold = 0 THEN 1 ELSE 0 END) * (p0 - CASE WHEN gold = 0 THEN 1 ELSE 0 END) + (p1 - CASE WHEN gold = 1 THEN 1 ELSE 0 END) * (p1 - CASE WHEN gold = 1 THEN 1 ELSE 0 END) + (p2 - CASE WHEN gold = 2 THEN 1 ELSE 0 END) * (p2 - CASE WHEN gold = 2 THEN 1 ELSE 0 END)"
 sql("brier", lambda d: f"SELECT round(avg({BRIER}), 6) AS brier FROM item")
 sql("brier_decision", lambda d: "SELECT round(avg(b), 6) AS brier FROM (SELECT group_id, sum((soft / total - is_gold) * (soft / total - is_gold)) AS b FROM (SELECT *, sum(soft) OVER (PARTITION BY group_id) AS total FROM grouped) AS g WHERE total > 0 GROUP BY group_id) AS x")
 sql("trap_clean_acc", lambda d: f"SELECT round(avg(CASE WHEN id % 7 = 0 THEN {Y} END), 6) AS trap, round(avg(CASE WHEN id % 7 <> 0 THEN {Y} END), 6) AS clean FROM scored")
 sql("latency_pct", lambda d: f"SELECT round({d.quantile('latency', 0.5)}, 6) AS p50, round({d.quantile('latency', 0.9)}, 6) AS p90, round({d.quantile('latency', 0.99)}, 6) AS p99, round(1000 / greatest(1e-3, {d.quantile('latency', 0.5)}), 6) AS per_second FROM ballot")
-sql("latency_rank", lambda d: "SELECT max(CASE WHEN k = floor(n / 2) + 1 THEN latency END) AS p50, max(CASE WHEN k = floor(0.95e0 * n) + 1 THEN latency END) AS p95 FROM (SELECT latency, row_number() OVER (ORDER BY latency) AS k, count(*) OVER () AS n FROM ballot) AS t")
+rank_relation("ranked_latency", lambda d: "SELECT latency FROM ballot", "latency", value="latency")
+sql("latency_rank", lambda d: "SELECT max(CASE WHEN k = floor(q / 2) + 1 THEN latency END) AS p50, max(CASE WHEN k = floor(0.95e0 * q) + 1 THEN latency END) AS p95 FROM ranked_latency")
 WILSON = "round((p + 1.9208e0 / n - 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n), 6) AS lo, round((p + 1.9208e0 / n + 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n), 6) AS hi"
 sql("wilson_ci", lambda d: f"SELECT slice, {WILSON} FROM (SELECT slice, CAST(count(*) AS double) AS n, avg({Y}) AS p FROM scored GROUP BY slice) AS t")
 sql("tier_summary", lambda d: f"SELECT tier, slice, n, round(p, 6) AS acc, {WILSON} FROM (SELECT id % 3 AS tier, slice, CAST(count(*) AS double) AS n, avg({Y}) AS p FROM scored GROUP BY GROUPING SETS ((id % 3), (slice), ())) AS t")
@@ -46,9 +54,10 @@ PAIRED = f"SELECT slice, count(*) AS n, round(avg({Y}), 6) AS acc_a, round(avg({
 
 
 def exact_p(d):
-    """Two-sided exact binomial p of b against c, by log-gamma free sums of logarithms."""
+    """Two-sided exact binomial p of b against c: a running sum of logarithms, a row for each term up to the smaller count."""
+    terms = "LATERAL VIEW explode(sequence(CAST(0 AS bigint), least(b, c))) AS i" if d.name == "spark" else ", LATERAL (SELECT unnest(range(0, least(b, c) + 1)) AS i) AS _x"
     return f"""SELECT slice, b, c, round(least(1e0, 2 * sum(exp(lc - (b + c) * ln(2e0)))), 6) AS p FROM (SELECT slice, b, c, i, sum(CASE WHEN i = 0 THEN 0e0 ELSE ln((b + c - i + 1) / CAST(i AS double)) END) OVER (PARTITION BY slice ORDER BY i ROWS UNBOUNDED PRECEDING) AS lc
-        FROM ({PAIRED}) AS q CROSS JOIN {d.seq(20000)} AS s WHERE i <= least(b, c)) AS t GROUP BY slice, b, c"""
+        FROM ({PAIRED}) AS q {terms}) AS t GROUP BY slice, b, c"""
 
 
 sql("mcnemar_exact", lambda d: exact_p(d))
@@ -78,9 +87,14 @@ sql("anchor_acc", lambda d: f"SELECT round(avg({Y}), 6) AS acc FROM scored WHERE
 sql("per_question_acc", lambda d: "SELECT group_id, is_gold AS correct FROM (SELECT group_id, is_gold, row_number() OVER (PARTITION BY group_id ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t WHERE r = 1")
 sql("xopt_ce", lambda d: "SELECT round(avg(ce), 6) AS loss, count(*) AS n_groups FROM (SELECT group_id, ln(sum(exp(soft * 10))) - max(CASE WHEN is_gold = 1 THEN soft * 10 END) AS ce FROM grouped GROUP BY group_id HAVING count(*) > 1) AS t")
 sql("served_ce", lambda d: "SELECT round(avg(-ln(greatest(g / s, 1e-12))), 6) AS loss, count(*) AS n_groups FROM (SELECT group_id, sum(soft) AS s, max(CASE WHEN is_gold = 1 THEN soft END) AS g FROM grouped GROUP BY group_id HAVING count(*) > 1 AND sum(soft) > 0) AS t")
-sql("auroc", lambda d: "SELECT round((sum(CASE WHEN gold = 1 THEN r END) - n1 * (n1 + 1) / 2e0) / (n1 * n0), 6) AS auroc FROM (SELECT gold, (rank() OVER (ORDER BY p1) + (count(*) OVER (PARTITION BY p1) - 1) / 2e0) AS r, (SELECT CAST(count(*) AS double) FROM item WHERE gold = 1) AS n1, (SELECT CAST(count(*) AS double) FROM item WHERE gold <> 1) AS n0 FROM item) AS t GROUP BY n1, n0")
-sql("spearman", lambda d: "SELECT round(corr(a, b), 6) AS rho FROM (SELECT CAST(row_number() OVER (ORDER BY p1, id) AS double) AS a, CAST(row_number() OVER (ORDER BY q1, id) AS double) AS b FROM item) AS t")
-sql("aurc", lambda d: f"SELECT round(avg(risk), 6) AS aurc FROM (SELECT avg(1 - ({Y})) OVER (ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING) AS risk FROM scored) AS t")
+# ranks of equal scores are averaged, so the scores are counted first
+rank_relation("ranked_scores", lambda d: "SELECT p1, count(*) AS n, count(*) FILTER (WHERE gold = 1) AS n1 FROM item GROUP BY p1", "p1", value="p1", before="before", adds="n")
+sql("auroc", lambda d: "SELECT round((sum(n1 * (before + (n + 1) / 2e0)) - sum(n1) * (sum(n1) + 1) / 2e0) / CAST(sum(n1) * sum(n - n1) AS double), 6) AS auroc FROM ranked_scores")
+rank_relation("ranked_p", lambda d: "SELECT id, p1 FROM item", "p1, id", value="p1")
+rank_relation("ranked_q", lambda d: "SELECT id, q1 FROM item", "q1, id", value="q1")
+sql("spearman", lambda d: "SELECT round(corr(CAST(p.k AS double), CAST(q.k AS double)), 6) AS rho FROM ranked_p p JOIN ranked_q q ON p.id = q.id")
+rank_relation("ranked_risk", lambda d: f"SELECT id, conf, CASE WHEN pred = gold THEN 0 ELSE 1 END AS wrong FROM scored", "conf DESC, id", value="conf", falling=True, before="before", adds="wrong")
+sql("aurc", lambda d: "SELECT round(avg((before + wrong) / CAST(k AS double)), 6) AS aurc FROM ranked_risk")
 sql("entropy_conf", lambda d: "SELECT id, round(1 + (p0 * ln(p0) + p1 * ln(p1) + p2 * ln(p2)) / ln(3e0), 6) AS conf FROM item")
 PG = "CASE gold WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END"
 sql("proper_reward", lambda d: f"SELECT id, round(greatest(ln({PG}), -9.21e0) + 0.5e0 * ({PG}) / sqrt(p0 * p0 + p1 * p1 + p2 * p2) - ((p0 - CASE WHEN gold <= 0 THEN 1 ELSE 0 END) * (p0 - CASE WHEN gold <= 0 THEN 1 ELSE 0 END) + (p0 + p1 - CASE WHEN gold <= 1 THEN 1 ELSE 0 END) * (p0 + p1 - CASE WHEN gold <= 1 THEN 1 ELSE 0 END)) / 2, 6) AS reward FROM item")

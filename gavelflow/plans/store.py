@@ -1,6 +1,8 @@
 """The judge store: verdicts, batches, runs and final labels as relations (resume, upsert, export, watch)."""
 
-from .base import sql
+from gavelflow.operators.clean import purge_non_ok
+
+from .base import DUCK, SPARK, expand, query, spark_sql, sql
 
 FINAL = """CASE WHEN n_ok = 0 THEN gen WHEN c0 * 2 > n_ok AND (gen = 0 OR c0 >= 2) THEN 0 WHEN c1 * 2 > n_ok AND (gen = 1 OR c1 >= 2) THEN 1 WHEN c2 * 2 > n_ok AND (gen = 2 OR c2 >= 2) THEN 2 ELSE gen END"""
 RUNS = "(SELECT run AS run_id, min(ts) AS started_at, max(ts) AS finished_at, CASE WHEN run = 3 THEN 'running' WHEN run = 1 THEN 'failed' ELSE 'completed' END AS status, '[\"a\",\"b\"]' AS models, count(*) AS total FROM ballot GROUP BY run) AS runs"
@@ -15,9 +17,9 @@ sql("count_verdicts", lambda d: "SELECT run, judge, count(*) AS n FROM verdict W
 sql("persisted_ok_count", lambda d: "SELECT run, count(*) FILTER (WHERE status = 'ok') AS n FROM verdict GROUP BY run")
 sql("run_exists", lambda d: "SELECT r.run, EXISTS (SELECT 1 FROM ballot b WHERE b.run = r.run) AS there FROM (VALUES (0), (3), (9)) AS r(run)")
 sql("persisted_verdicts", lambda d: "SELECT sample, judge, label FROM verdict WHERE sample IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0) AND status = 'ok'")
-sql("upsert_verdicts", lambda d: "SELECT sample, judge, seq, label, status FROM (SELECT *, row_number() OVER (PARTITION BY sample, judge ORDER BY seq DESC) AS n FROM ballot) WHERE n = 1")
-sql("upsert_final_labels", lambda d: "SELECT run, sample, label FROM (SELECT *, row_number() OVER (PARTITION BY run, sample ORDER BY seq DESC) AS n FROM ballot) WHERE n = 1")
-sql("purge_non_ok", lambda d: "SELECT seq, sample, judge, status FROM ballot WHERE NOT (status <> 'ok' AND run = 1)")
+sql("upsert_verdicts", lambda d: f"SELECT sample, judge, seq, label, status FROM {d.latest('ballot', 'sample, judge', 'seq')} AS v")
+sql("upsert_final_labels", lambda d: f"SELECT run, sample, label FROM {d.latest('ballot', 'run, sample', 'seq')} AS v")
+query("purge_non_ok", lambda spark, sf: purge_non_ok(purge_non_ok(spark_sql(spark, sf, expand("SELECT seq, sample, judge, status, run FROM ballot", SPARK)), run=1), judge="click", run=2).drop("run"), expand("SELECT seq, sample, judge, status FROM ballot WHERE NOT (status <> 'ok' AND (run = 1 OR (judge = 'click' AND run = 2)))", DUCK))
 sql("run_lifecycle", lambda d: f"SELECT run_id, status, total FROM {RUNS}")
 sql("record_batch", lambda d: "SELECT run, judge, CAST(floor(sample / 50) AS bigint) AS batch, count(*) AS size, round(max(latency), 6) AS latency FROM ballot GROUP BY ALL")
 sql("export_judge_ok", lambda d: "SELECT v.sample, v.label, p.source FROM verdict v JOIN pair p ON v.sample = p.id WHERE v.judge = 'click' AND v.status = 'ok'")
@@ -27,8 +29,8 @@ sql("watchdog_window", lambda d: f"""WITH last AS (SELECT * FROM ballot ORDER BY
     SELECT count(*) AS recent, round(avg(CASE WHEN status <> 'ok' THEN 1e0 ELSE 0e0 END), 6) AS failure_rate, (SELECT count(*) FROM ballot, edge WHERE {d.epoch('ts')} > t - 3600) AS last_hour FROM last""")
 sql("run_status", lambda d: "SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS error, count(*) AS total FROM ballot")
 sql("progress_poll", lambda d: "SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) AS total, count(*) FILTER (WHERE status = 'ok') >= 0.75 * count(*) AS done FROM verdict")
-sql("stage_status", lambda d: "SELECT judge AS stage, status, status = 'ok' AS done FROM (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY seq DESC) AS n FROM ballot) WHERE n = 1")
+sql("stage_status", lambda d: f"SELECT judge AS stage, status, status = 'ok' AS done FROM {d.latest('ballot', 'judge', 'seq')} AS v")
 sql("trajectory_stats", lambda d: "SELECT sample AS episode, count(*) AS steps, round(avg(latency), 6) AS latency, round(avg(CASE WHEN label = sample % 3 THEN 1e0 ELSE 0e0 END), 6) AS agreement FROM ballot GROUP BY sample")
 sql("delta_report", lambda d: """WITH now AS (SELECT slice, count(*) AS n, avg(CASE WHEN pred = gold THEN 1e0 ELSE 0e0 END) AS acc FROM scored GROUP BY slice),
     old AS (SELECT slice, avg(CASE WHEN pred_b = gold THEN 1e0 ELSE 0e0 END) AS acc FROM scored WHERE slice < 8 GROUP BY slice)
-    SELECT n.slice, n.n, round(n.acc, 6) AS acc, round(o.acc, 6) AS before, round(n.acc - o.acc, 6) AS delta FROM now n FULL JOIN old o ON n.slice = o.slice""")
+    SELECT n.slice, n.n, round(n.acc, 6) AS acc, round(coalesce(o.acc, 0e0), 6) AS before, round(n.acc - coalesce(o.acc, 0e0), 6) AS delta FROM now n LEFT JOIN old o ON n.slice = o.slice""")

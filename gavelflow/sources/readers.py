@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavelflow.operators.ranks import draw
+
 #: Names under which the columns of a pair are found, best first.
 CANDIDATES = {"premise": ["premise", "context", "sentence1", "text"], "hypothesis": ["hypothesis", "claim", "sentence2", "question"], "label": ["label", "gold_label", "answer"]}
 
@@ -48,6 +50,12 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def hub(spark: SparkSession, path: str, key: str, split: str = "train", seed: int = 42) -> DataFrame:
+    """A split of a columnar dataset (a tenth by hash is validation), with ``place``: its rows sorted by it are shuffled."""
+    held = draw(F.concat(F.lit("split:"), F.col(key).cast("string")), 10) == 0
+    return spark.read.parquet(path).where(held if split == "validation" else ~held).withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+
+
 def required(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not exists(spark, path):
         raise FileNotFoundError(path)
