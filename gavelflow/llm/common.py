@@ -6,6 +6,7 @@ whole batch at once with numpy, never word by word in Python.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -33,7 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
         top = tempfile.mkdtemp(prefix="gavelflow-")
         spark.sparkContext.setCheckpointDir(top)
         top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/gavelflow-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/gavelflow-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the folders that shared_dir() gave meanwhile, but for those that are added to the set it yields."""
+    made, keep = [], set()
+    _MADE.append(made)
+    try:
+        yield keep
+    finally:
+        _MADE.pop()  # contexts end in the reverse order of their beginning
+        for path in made:
+            if path not in keep:
+                drop_files(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,12 +77,29 @@ def drop_files(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Arrow batches of few bytes while jobs over rows of several megabytes run: a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
@@ -80,6 +118,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every k consecutive words of one document: the first word's index, and a uint64 hash."""
+    if len(words) < k:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    n = len(words) - k + 1
+    h = words[:n].copy()
+    for j in range(1, k):
+        h *= _GRAM
+        h += words[j : j + n]
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    return at, mix(h[at])
+
+
 class Texts:
     """The words of a batch of texts, as positions in one byte buffer.
 
@@ -133,15 +184,7 @@ class Texts:
 
     def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every k consecutive words of one text: the first word's index, and a uint64 hash."""
-        if len(words) < k:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        n = len(words) - k + 1
-        h = words[:n].copy()
-        for j in range(1, k):
-            h *= _GRAM
-            h += words[j : j + n]
-        at = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
-        return at, mix(h[at])
+        return grams(words, self.doc, k)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by a space, as bytes; and where each word begins there."""

@@ -79,6 +79,16 @@ def test_substrings(docs, batches):
     assert bag(got) == bag(brute_substrings(corpus()))
 
 
+def test_substrings_shared_late(spark):
+    """Nothing is shared in the first batches; then a text of the first one comes again, twice."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(12)]
+    again = rows[0][1].split()
+    rows += [(12, " ".join(again[:20])), (13, words(rng, 5) + " " + " ".join(again[5:])), (14, rows[3][1])]
+    got = substring_dedup.substring_dedup(table(spark, rows), batches=4, fanout=2).collect()
+    assert bag(got) == bag(brute_substrings(rows)) and sum(r["n_removed"] for r in got) == 20 + 25 + 30
+
+
 def test_exact(spark, docs, tmp_path):
     for weak in (False, True):  # with a weak digest different texts meet in one group and must be parted by their bytes
         path = str(tmp_path / f"d{weak}.parquet")
@@ -96,10 +106,22 @@ def test_exact(spark, docs, tmp_path):
         assert bag(got) == want
 
 
+def test_exact_takes_in_new_files(spark, docs, tmp_path):
+    """A kept checkpoint: the second call streams only the new files, and the result is that of all of them."""
+    path, checkpoint = str(tmp_path / "grows.parquet"), str(tmp_path / "checkpoint")
+    docs.where("doc_id % 2 = 0").write.parquet(path)
+    exact_dedup(spark, path, checkpoint=checkpoint).collect()
+    docs.where("doc_id % 2 <> 0 OR doc_id IS NULL").write.mode("append").parquet(path)
+    got = exact_dedup(spark, path, checkpoint=checkpoint).collect()
+    assert bag(got) == bag(exact_dedup(spark, path).collect())
+    offsets = sorted(int(p.name) for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+    assert len(offsets) >= 2
+
+
 def test_mixing(spark, docs):
     n = collections.Counter({"a": 90_000, "b": 9000, "c": 1000, None: 500})
     big = spark.createDataFrame([(i, "x " * 100, s) for s, k in n.items() for i in range(k // 100)], "doc_id long, text string, source string")
-    src = mixing.source_table(big)
+    src = mixing.source_table(mixing.counted(big))
     total = sum(n.values())
 
     def weights(a):
@@ -113,6 +135,23 @@ def test_mixing(spark, docs):
     got = mixing.mix(big, 0.99, 5.0).groupBy("source").agg(F.sum("tokens").alias("t"), F.max("epoch").alias("e")).collect()
     drawn = {r["source"]: r["t"] for r in got}
     assert all(abs(drawn[k] / sum(drawn.values()) - w) < 0.01 for k, w in weights(b).items()) and drawn["a"] == n["a"]
+    # blocks: documents stand by hash, cut where the running tokens pass a block; turns keep every stretch near the weights
+    rows = mixing.mix(big, 0.99, 5.0, block_tokens=1000).collect()
+    per = collections.defaultdict(list)
+    for r in rows:
+        per[r["source"], r["epoch"]].append((r["before"], r["tokens"], r["block"], r["turn"]))
+    for drawn in per.values():
+        at, turns = 0, {}
+        for before, size, block, turn in sorted(drawn):
+            assert before == at and block == before // 1000 and turns.setdefault(block, turn) == turn
+            at += size
+        assert list(turns.values()) == sorted(turns.values())
+    for lo in (0.0, 0.25, 0.5, 0.75):
+        part = collections.Counter()
+        for r in rows:
+            if lo <= r["turn"] < lo + 0.25:
+                part[r["source"]] += r["tokens"]
+        assert all(abs(part[k] / sum(part.values()) - w) < 0.06 for k, w in weights(b).items()), (lo, part)
     cut = mixing.mix(big, 0.99, 5.0, budget=20_000).groupBy("source").agg(F.sum("tokens").alias("t")).collect()
     assert all(0 <= r["t"] - weights(b)[r["source"]] * 20_000 <= 100 for r in cut)
     assert mixing.mixed(big, 0.99, 5.0).groupBy("source").count().collect().__len__() == 4
