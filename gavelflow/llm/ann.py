@@ -7,8 +7,9 @@ then all trees ascend together, one bit at a time, until the ranges of equal
 prefixes hold enough rows, 3 k different ones beside the query's own at least
 (all where there are fewer). These candidates get exact inner products in double
 precision. Vectors are extended by one component to equal norms, so that close
-hashes mean large inner products. Shards answer blocks of queries; the answers
-are merged per query.
+hashes mean large inner products. A shard's rows come first in its partition:
+its forest is built once, then the queries stream past it in batches, each with
+its best answers out at once. The answers are merged per query.
 
 Every row is in the index. ``share`` sets how many prefix hits the ascent
 gathers, as a part of the shard's rows, the query's own row not counted; recall for it is measured in the tests
@@ -96,44 +97,71 @@ class Forest:
             yield self.mask(lo[:, q], hi[:, q])
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = 40, share: float = 1.5, shard_rows: int = 8192, block: int = 8192, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query its k nearest found among rows. Both: vec_id, embedding."""
-    q, r = usable(queries), usable(rows)
-    shards, blocks = (max(1, -(-d.count() // n)) for d, n in ((r, shard_rows), (q, block)))
-    r = r.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length of the vectors: ids and vectors."""
-        v = t["v"].combine_chunks()
-        sizes, flat, ids = np.asarray(v.value_lengths()), np.asarray(v.flatten()), t["vec_id"].to_numpy()
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return {int(n): (ids[sizes == n], flat[begin[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)}
-
-    def run(left, right):
+def matrix(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of the vectors: ids and vectors."""
+    v = t["v"].combine_chunks()
+    sizes, flat, ids = np.asarray(v.value_lengths()), np.asarray(v.flatten()), t["vec_id"].to_numpy()
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return {int(n): (ids[sizes == n], flat[begin[sizes == n][:, None] + np.arange(n)]) for n in np.unique(sizes)}
+
+
+class Shard:
+    """The rows of a shard; forests by length of the vectors, made when first asked."""
+
+    def __init__(self, rows: list[pa.Table], trees: int, seed: int):
+        self.rows = matrix(pa.concat_tables(rows)) if rows else {}
+        self.trees, self.seed, self.forests = trees, seed, {}
+
+    def answer(self, queries: pa.Table, k: int, share: float) -> pa.RecordBatch:
         out = []
-        if left.num_rows and right.num_rows:
-            mine = matrix(right)
-            for n, (qid, qv) in matrix(left).items():
-                if n not in mine:
-                    continue
-                ids, v = mine[n]
-                forest = Forest(ids, v, trees, seed)
-                most = k * int(forest.times.max())
-                for i, mask in enumerate(forest.candidates(qid, qv, share * len(v), 3 * k)):
-                    at = np.flatnonzero(mask & (ids != qid[i]))
-                    s = v[at] @ qv[i]
-                    if len(at) > 3 * most:  # those that may be among the k best ids, whatever the order of summation
-                        at = at[s >= np.partition(s, -most)[-most] - 1e-9 * (1 + np.abs(s).max())]
-                    s = (v[at] * qv[i]).sum(1)
-                    best = np.lexsort([ids[at], -s])
-                    _, once = np.unique(ids[at][best], return_index=True)
-                    best = best[np.sort(once)][:k]
-                    out.append((np.full(len(best), qid[i]), ids[at][best], s[best]))
+        for n, (qid, qv) in matrix(queries).items():
+            if n not in self.rows:
+                continue
+            ids, v = self.rows[n]
+            if n not in self.forests:
+                self.forests[n] = Forest(ids, v, self.trees, self.seed)
+            forest = self.forests[n]
+            most = k * int(forest.times.max())
+            for i, mask in enumerate(forest.candidates(qid, qv, share * len(v), 3 * k)):
+                at = np.flatnonzero(mask & (ids != qid[i]))
+                s = v[at] @ qv[i]
+                if len(at) > 3 * most:  # those that may be among the k best ids, whatever the order of summation
+                    at = at[s >= np.partition(s, -most)[-most] - 1e-9 * (1 + np.abs(s).max())]
+                s = (v[at] * qv[i]).sum(1)
+                best = np.lexsort([ids[at], -s])
+                _, once = np.unique(ids[at][best], return_index=True)
+                best = best[np.sort(once)][:k]
+                out.append((np.full(len(best), qid[i]), ids[at][best], s[best]))
         a, b, c = (np.concatenate([x[j] for x in out]) if out else np.zeros(0) for j in range(3))
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int = 20, trees: int = 40, share: float = 1.5, shard_rows: int = 8192, block: int = 2048, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query its k nearest found among rows. Both: vec_id, embedding. block: queries answered at a time."""
+    q, r = usable(queries), usable(rows)
+    shards = max(1, -(-r.count() // shard_rows))
+    r = r.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long")).withColumn("query", F.lit(False))
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("query", F.lit(True))
+
+    def run(batches):
+        held, shard, now = [], None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            change = np.flatnonzero(np.diff(t["shard"].to_numpy() * 2 + t["query"].to_numpy(zero_copy_only=False))) + 1
+            for i, j in zip([0, *change], [*change, t.num_rows]):
+                part = t.slice(i, j - i)
+                number, query = part["shard"][0].as_py(), part["query"][0].as_py()
+                if number != now:
+                    held, shard, now = [], None, number
+                if not query:
+                    held.append(part)
+                    continue
+                if shard is None:
+                    shard, held = Shard(held, trees, seed), []
+                for at in range(0, part.num_rows, block):
+                    yield shard.answer(part.slice(at, block), k, share)
 
-    hits = q.groupBy("shard", "block").cogroup(r.groupBy("shard", "block")).applyInArrow(run, HITS)
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    dealt = r.unionByName(q).repartition(max(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards), "shard").sortWithinPartitions("shard", "query")
+    hits = dealt.mapInArrow(run, HITS).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
