@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, batches, cut, mix, release
+from .common import U64, Texts, batches, cut, mix, release, scratch
 
 NULL_ID = -(1 << 63)
 KEPT = 3  # shingles in a sketch
@@ -298,7 +298,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 16, block: int = 2048) -> DataFrame:
-    """d, h, root of every row of docs: root is the struct (d, h) of the first row of its class."""
+    """d, h, root of every row of docs: root is the struct (d, h) of the first row of its class. Only this table is left behind."""
+    with scratch(docs.sparkSession) as keep:
+        out = _near_classes(docs, similarity, sketches, block)
+        keep.add(out.cut_path)
+    return out
+
+
+def _near_classes(docs: DataFrame, similarity: float, sketches: int, block: int) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(sketches_of(docs, sketches))
     reps = rows.groupBy("digest").agg(F.min(_id()).alias("rep"), F.first("n").alias("n"))
