@@ -56,7 +56,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage_words=line_dedup.PASSAGE_WORDS)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +89,12 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, k.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM k.keep_id AS kept, d.text_sha256
         FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
     """,
-    "op8_line_dedup": """
+    "op8_line_dedup": rf"""
         WITH l AS (SELECT doc_id, i - 1 AS i, x[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS r(i)),
         p AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
         f AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS n FROM p WHERE next IS NOT NULL),
-        g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (VALUES (0), (1)) AS v(k) WHERE n > 1),
+        w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM l WHERE len(regexp_extract_all(line, '{WORD}')) > 50),
+        g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, (VALUES (0), (1)) AS v(k) WHERE n > 1 UNION SELECT doc_id, i FROM w WHERE n > 1),
         m AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i),
         r AS (SELECT doc_id, count(*) AS size FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM m WHERE gone) GROUP BY doc_id, island),
         s AS (SELECT doc_id, count(*) AS n_runs, max(size) AS longest_run FROM r GROUP BY doc_id)
