@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Each works on all its predecessor kept.
+
+Defined results, for run() as for each stage: null and empty texts are kept
+where nothing else rejects them (of texts without words one of each equal text
+stays); documents of equal id and text are one from the near dedup on; null ids,
+sources and other columns pass through; columns beyond those of documents pass
+through as well, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelflow.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from gavelflow.llm.common import cut
+from gavelflow.llm.common import cut, drop_cut, scratch
 from gavelflow.llm.queries import vocabulary
 
 
@@ -21,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs."""
-    return line_dedup.clean(docs)
+    """All documents, without later copies of repeated line runs and of single lines that are passages."""
+    return line_dedup.clean(docs, passage_words=line_dedup.PASSAGE_WORDS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +54,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Learned weights, sketches and packing are beyond SQL; tests/llm holds the stages against brute force.
+#: Learned weights, sketches and packing are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:  # what a stage leaves behind goes once its result is written
+            docs = cut(stage(spark, docs, sf_dir))
+            keep.add(docs.cut_path)
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
