@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,11 @@ SQL = "SELECT d.doc_id AS id, d.source, coalesce(l.quality, 2) AS label FROM doc
 
 
 def folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:  # a folder of this machine will do only where all runs on it
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.gettempdir()
     return f"{top.rstrip('/')}/gavelflow-files-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gavelflow.functions import erfc
 from gavelflow.operators.packing import group_pack, temperature_fit
 
-from .base import SPARK, expand, query, tables
+from .base import DUCK, SPARK, expand, query, tables
 from .stats import PAIRED
 
 
@@ -25,6 +25,16 @@ def _mcnemar(spark, sf):
     return t.select("slice", "b", "c", F.round(p, 6).alias("p"))
 
 
-query("group_pack", lambda spark, sf: group_pack(_sql(spark, sf, "SELECT group_id, ord, CAST(qty AS int) AS n, CAST(group_id % 16 AS int) AS shard FROM grouped"), "group_id", "ord", "n", 2048, "shard"))
+# the oracle walks the units of each shard one by one
+GREEDY = expand("""WITH RECURSIVE g AS (SELECT group_id, max(CAST(qty AS int)) AS longest, count(*) AS size, min(ord) AS first, CAST(group_id % 16 AS int) AS shard FROM grouped GROUP BY group_id),
+    u AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY longest DESC, first) AS k FROM g),
+    walk AS (SELECT group_id, first, shard, k, CAST(0 AS bigint) AS batch, size AS rows_, longest AS most FROM u WHERE k = 1
+        UNION ALL SELECT u.group_id, u.first, u.shard, u.k, CASE WHEN greatest(w.most, u.longest) * (w.rows_ + u.size) > 2048 THEN w.batch + 1 ELSE w.batch END, CASE WHEN greatest(w.most, u.longest) * (w.rows_ + u.size) > 2048 THEN u.size ELSE w.rows_ + u.size END,
+            CASE WHEN greatest(w.most, u.longest) * (w.rows_ + u.size) > 2048 THEN u.longest ELSE greatest(w.most, u.longest) END FROM walk w JOIN u ON u.shard = w.shard AND u.k = w.k + 1)
+    SELECT group_id, first, shard, batch FROM walk""".replace("WITH RECURSIVE", "WITH"), DUCK).replace("WITH ", "WITH RECURSIVE ", 1)
+query("group_pack", lambda spark, sf: group_pack(_sql(spark, sf, "SELECT group_id, ord, CAST(qty AS int) AS n, CAST(group_id % 16 AS int) AS shard FROM grouped"), "group_id", "ord", "n", 2048, "shard"), GREEDY)
 query("temperature_fit", lambda spark, sf: temperature_fit(_sql(spark, sf, "SELECT gold, z0, z1, z2 FROM logit")))
-query("mcnemar_mixed", _mcnemar)
+# the oracle's error function is a series of positive terms
+EXACT = "least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))))"
+TAIL = "CASE WHEN x > 5 THEN 0 WHEN x = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 150), lambda n: exp(n * ln(4) + lgamma(n + 1) + (2 * n + 1) * ln(x) - lgamma(2 * n + 2)))) END"
+query("mcnemar_mixed", _mcnemar, f"SELECT slice, b, c, round(CASE WHEN b + c = 0 THEN 1 WHEN b + c < 25 THEN {EXACT} ELSE {TAIL} END, 6) AS p FROM (SELECT slice, b, c, sqrt(pow(greatest(abs(b - c) - 1, 0), 2) / greatest(b + c, 1) / 2) AS x FROM ({expand(PAIRED, DUCK)}) AS q) AS t")

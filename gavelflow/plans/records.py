@@ -176,11 +176,18 @@ def order_decisions(spark, sf):
 from .base import SPARK as _spark  # noqa: E402
 
 SLOTS = "SELECT * EXCLUDE (part), part || '#' || slot AS part FROM (" + expand("SELECT group_id, part, soft, is_gold, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped", DUCK) + ") AS slots"
-WHOLE = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 100).cast("int").cast("string")), ",")
+
+
+def permutations(spark, sf):
+    """A row for each option of each rotation."""
+    d = R.rotations(order_decisions(spark, sf)).select(F.split_part("id", F.lit("_"), F.lit(1)).cast("long").alias("group_id"), "id", "gold_index", "gold_key", "soft_distribution", F.posexplode("options").alias("position", "o"))
+    return d.select("group_id", "id", "position", "o.key", "o.text", (F.col("position") == F.col("gold_index")).cast("int").alias("is_gold"), "gold_key", F.get("soft_distribution", F.col("position")).alias("soft"))
+
+
 query(
-    "cyclic_permutations", lambda spark, sf: flat(R.rotations(order_decisions(spark, sf))).select(F.split_part("id", F.lit("_"), F.lit(1)).cast("long").alias("group_id"), "id", "options", "gold_index", "gold_key", WHOLE("soft_distribution").alias("soft")),
-    f"""SELECT group_id, CASE WHEN kk = 1 THEN group_id || '' ELSE group_id || '_perm_' || s END AS id, string_agg(chr(CAST(65 + p AS INTEGER)) || '=' || part, '|' ORDER BY p) AS options, CAST(max(p) FILTER (is_gold = 1) AS INTEGER) AS gold_index, max(chr(CAST(65 + p AS INTEGER))) FILTER (is_gold = 1) AS gold_key, string_agg(CAST(CAST(round(soft * 100) AS INTEGER) AS VARCHAR), ',' ORDER BY p) AS soft
-        FROM (SELECT *, (slot - s + kk) % kk AS p FROM ({SLOTS}) AS a, unnest(range(0, kk)) AS u(s)) AS b GROUP BY group_id, kk, s""",
+    "cyclic_permutations", permutations,
+    f"""SELECT group_id, CASE WHEN kk = 1 THEN group_id || '' ELSE group_id || '_perm_' || s END AS id, CAST(p AS INTEGER) AS position, chr(CAST(65 + p AS INTEGER)) AS key, part AS text, is_gold, chr(CAST(65 + max(p) FILTER (is_gold = 1) OVER (PARTITION BY group_id, s) AS INTEGER)) AS gold_key, CAST(soft AS DOUBLE) AS soft
+        FROM (SELECT *, (slot - s + kk) % kk AS p FROM ({SLOTS}) AS a, unnest(range(0, kk)) AS u(s)) AS b""",
 )
 query(
     "incontext_prompt", lambda spark, sf: order_decisions(spark, sf).where("problem IS NULL").select(F.col("id").cast("long").alias("group_id"), R.prompt().alias("prompt"), "gold_key"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERDICT = "seq long, sample long, judge string, label int, status string, latency double, ts timestamp"
@@ -35,8 +35,7 @@ def run(stream: DataFrame, checkpoint: str, out: str, mode: str = "append") -> D
 def upsert(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
     """The newest verdict of each (sample, judge). Each batch is written under its number, so a batch that runs twice replaces itself."""
     spark = stream.sparkSession
-    newest = Window.partitionBy("sample", "judge").orderBy(F.desc("seq"))
-    latest = lambda df: df.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
+    latest = lambda df: df.groupBy("sample", "judge").agg(F.max_by(F.struct(*stream.columns), "seq").alias("r")).select("r.*")
     stream.writeStream.foreachBatch(lambda df, n: latest(df).write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return latest(spark.read.schema(stream.schema).parquet(f"{out}/batch=*"))
 
