@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,12 @@ _GRAM = U64(0xC2B2AE3D27D4EB4F)
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent (tests, one machine) a folder is made here.
+    Where that setting is absent a folder is made here if all runs on this machine; on a cluster that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="gavelflow-")
         spark.sparkContext.setCheckpointDir(top)
         top = spark.sparkContext.getCheckpointDir()
