@@ -44,8 +44,17 @@ BRIER = "(p0 - CASE WHEN gold = 0 THEN 1 ELSE 0 END) * (p0 - CASE WHEN gold = 0
 sql("brier", lambda d: f"SELECT round(avg({BRIER}), 6) AS brier FROM item")
 sql("brier_decision", lambda d: "SELECT round(avg(b), 6) AS brier FROM (SELECT group_id, sum((soft / total - is_gold) * (soft / total - is_gold)) AS b FROM (SELECT *, sum(soft) OVER (PARTITION BY group_id) AS total FROM grouped) AS g WHERE total > 0 GROUP BY group_id) AS x")
 sql("trap_clean_acc", lambda d: f"SELECT round(avg(CASE WHEN id % 7 = 0 THEN {Y} END), 6) AS trap, round(avg(CASE WHEN id % 7 <> 0 THEN {Y} END), 6) AS clean FROM scored")
-sql("latency_pct", lambda d: f"SELECT round({d.quantile('latency', 0.5)}, 6) AS p50, round({d.quantile('latency', 0.9)}, 6) AS p90, round({d.quantile('latency', 0.99)}, 6) AS p99, round(1000 / greatest(1e-3, {d.quantile('latency', 0.5)}), 6) AS per_second FROM ballot")
 rank_relation("ranked_latency", lambda d: "SELECT latency FROM ballot", "latency", value="latency")
+
+
+def percentile(p):
+    """Between the two nearest ranks, by their distance."""
+    at = f"((q - 1) * {p}e0)"
+    return f"max(CASE WHEN k = floor({at}) + 1 THEN latency END) + max({at} - floor({at})) * (max(CASE WHEN k = ceil({at}) + 1 THEN latency END) - max(CASE WHEN k = floor({at}) + 1 THEN latency END))"
+
+
+# Spark takes the percentiles from ranks, as its exact percentile holds all distinct values in one task
+query("latency_pct", lambda spark, sf: spark_sql(spark, sf, expand(f"SELECT round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99, round(1000 / greatest(1e-3, p50), 6) AS per_second FROM (SELECT {percentile(0.5)} AS p50, {percentile(0.9)} AS p90, {percentile(0.99)} AS p99 FROM ranked_latency) AS t", SPARK)), expand((lambda d: f"SELECT round({d.quantile('latency', 0.5)}, 6) AS p50, round({d.quantile('latency', 0.9)}, 6) AS p90, round({d.quantile('latency', 0.99)}, 6) AS p99, round(1000 / greatest(1e-3, {d.quantile('latency', 0.5)}), 6) AS per_second FROM ballot")(DUCK), DUCK))
 sql("latency_rank", lambda d: "SELECT max(CASE WHEN k = floor(q / 2) + 1 THEN latency END) AS p50, max(CASE WHEN k = floor(0.95e0 * q) + 1 THEN latency END) AS p95 FROM ranked_latency")
 WILSON = "round((p + 1.9208e0 / n - 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n), 6) AS lo, round((p + 1.9208e0 / n + 1.96e0 * sqrt(p * (1 - p) / n + 0.9604e0 / (n * n))) / (1 + 3.8416e0 / n), 6) AS hi"
 sql("wilson_ci", lambda d: f"SELECT slice, {WILSON} FROM (SELECT slice, CAST(count(*) AS double) AS n, avg({Y}) AS p FROM scored GROUP BY slice) AS t")

@@ -1,7 +1,5 @@
 """Queries that run a stream over the events table to its end."""
 
-from pyspark.sql import functions as F
-
 from gavelflow.streaming import verdicts as V
 
 from .base import DUCK, expand, query, sql

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gavelflow import registry
 from gavelflow.__main__ import main
-from gavelflow.operators import clean, decontam, evaluate, mutate, packing, ranks, records, typed
+from gavelflow.operators import clean, decontam, evaluate, mutate, packing, ranks, records, sample, typed
 from gavelflow.operators.salvage import salvaged
 
 SF = "/root/testdata/sf0.001"
@@ -176,6 +176,31 @@ def test_ranks(spark):
     assert ranks.ranked(d.limit(0), ranks.by_value(d.limit(0), "x"), ["x"]).count() == 0
 
 
+def test_samples(spark):
+    rows = [(i, "abc"[i % 3] if i % 10 else None, i % 4 + 1) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, g string, w int")
+    place = lambda i, seed=42: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
+    by = lambda g: sorted((i for i, h, _ in rows if h == g), key=place)
+    everything = sorted((i for i, _, _ in rows), key=place)
+    ids = lambda df: {r["id"] for r in df.collect()}
+    assert ids(sample.take(d, "id", 17)) == set(everything[:17])
+    assert ids(sample.balanced(d, "g", "id", 40, 4)) == {i for g in ("a", "b", "c", None) for i in by(g)[:10]}
+    least = min(len(by(g)) for g in ("a", "b", "c", None))
+    assert ids(sample.balance_to_least(d, "g", "id", 1.5)) == {i for g in ("a", "b", "c", None) for i in by(g)[: int(1.5 * least)]}
+    assert ids(sample.split(d, "id", 0.1, by=["g"]).where("part = 'val'")) == {i for g in ("a", "b", "c", None) for i in by(g)[: max(1, len(by(g)) // 10)]}
+    assert ids(sample.split(d, "id", 0.05).where("part = 'val'")) == set(everything[:10])
+    for crossing in (True, False):
+        at, want = 0, set()
+        for i in everything:
+            at += i % 4 + 1
+            if (at - (i % 4 + 1) < 50) if crossing else at <= 50:
+                want.add(i)
+        assert ids(sample.budget(d, "w", "id", 50, crossing)) == want
+    assert ids(sample.cap(d, ["g"], [F.desc("id")], 2)) == {i for g in ("a", "b", "c", None) for i in sorted(by(g))[-2:]}
+    assert sample.oversample(d, "id", F.col("g") == "a", 3).count() == 200 + 2 * len(by("a"))
+    assert sample.take(d.limit(0), "id", 5).count() == 0 and sample.split(d.limit(0), "id", 0.1).count() == 0
+
+
 def test_checks_raise(spark):
     used, banned = spark.createDataFrame([("x", "test"), ("y", "train"), ("z", "a")], "repo string, split string"), spark.createDataFrame([("x", "train"), ("q", "*")], "repo string, split string")
     assert clean.assert_allowed(used, banned).count() == 3
