@@ -1,5 +1,7 @@
 """Queries that run a stream over the events table to its end."""
 
+from pyspark.sql import functions as F
+
 from gavelflow.streaming import verdicts as V
 
 from .base import DUCK, expand, query, sql
@@ -19,7 +21,7 @@ query("append_log", streamed(lambda s, c, o: V.run(s.select("seq", "sample", "ju
 # the same over the finished table: votes up to the one that settles a sample; windows that the watermark has passed
 query("stateful_early_exit", streamed(lambda s, c, o: V.run(V.early_exit(s), c, o)), expand("""WITH r AS (SELECT sample, seq, judge, count(*) FILTER (status = 'ok') OVER w AS n, min(label) FILTER (status = 'ok') OVER w AS lo, max(label) FILTER (status = 'ok') OVER w AS hi FROM ballot WINDOW w AS (PARTITION BY sample ORDER BY seq ROWS UNBOUNDED PRECEDING)),
     s AS (SELECT sample, min(seq) FILTER (n >= 2 AND lo = hi) AS at_ FROM r GROUP BY sample) SELECT r.sample, r.seq, r.judge, coalesce(r.seq = s.at_, false) AS settled FROM r JOIN s ON r.sample = s.sample WHERE s.at_ IS NULL OR r.seq <= s.at_""", DUCK))
-query("watchdog_stream", streamed(lambda s, c, o: V.run(V.watchdog(s), c, o)), expand("SELECT date_trunc('hour', ts) AS start, count(*) AS n, count(*) FILTER (status <> 'ok') AS failed FROM ballot GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ballot)", DUCK))
+query("watchdog_stream", streamed(lambda s, c, o: V.run(V.watchdog(s), c, o).withColumn("start", F.unix_timestamp("start"))), expand("SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS start, count(*) AS n, count(*) FILTER (status <> 'ok') AS failed FROM ballot GROUP BY date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ballot)", DUCK))
 
 # extensions over the event and order tables
 sql("ext_tumbling", lambda d: f"SELECT event_type, CAST(floor({d.epoch('ts')} / 3600) AS bigint) AS hour_, count(*) AS n FROM events GROUP BY 1, 2")
