@@ -63,3 +63,15 @@ def judge(probabilities: DataFrame, columns: tuple[str, str, str] = ("p0", "p1",
 def rate(options: DataFrame, group: str, level: str, probability: str) -> DataFrame:
     """The expected level of each group; groups without mass are left out."""
     return options.groupBy(group).agg((F.sum(F.col(level) * F.col(probability)) / F.nullif(F.sum(probability), F.lit(0.0))).alias("rating")).where("rating IS NOT NULL")
+
+
+def debias(scores: DataFrame, group: str, shift: str, position: str, options: str, score: str, most: int = 20) -> DataFrame:
+    """The mean score of each option over the cyclic shifts in which its question was asked: what stands at a position in a shift is option (position + shift) mod options.
+
+    A question of one option scores 1; one of more than ``most`` is an error.
+    """
+    many = scores.where(F.col(options) > most).select(group).limit(1).collect()
+    if many:
+        raise ValueError(f"{group} {many[0][0]} has more than {most} options")
+    slot = F.pmod(F.col(position) + F.col(shift), F.col(options))
+    return scores.groupBy(group, slot.alias("slot")).agg(F.avg(F.when(F.col(options) == 1, 1.0).otherwise(F.col(score))).alias("score"))

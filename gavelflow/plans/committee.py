@@ -1,6 +1,10 @@
 """Committee votes: tally, policy, overrides, soft labels, early exit, export."""
 
-from .base import rank_relation, sql
+from pyspark.sql import functions as F
+
+from gavelflow.operators import committee as C
+
+from .base import DUCK, SPARK, expand, query, rank_relation, spark_sql, sql
 
 #: The policy reads a tally row: counts of ok votes by label, votes asked for, generator label.
 TOP = "CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END"
@@ -22,7 +26,7 @@ RESOLVED = f"""(SELECT sample, gen, n_ok, judges, c0, c1, c2, CASE WHEN {KEEP} T
 REVIEW = "(kind <> 'unanimous_consensus')"
 
 sql("vote_tally", lambda d: "SELECT sample, label, count(*) AS votes FROM verdict WHERE status = 'ok' GROUP BY sample, label")
-sql("resolve_sample", lambda d: f"SELECT sample, gen, final, kind, severity, round(confidence, 6) AS confidence, {REVIEW} AS needs_review FROM {RESOLVED}")
+query("resolve_sample", lambda spark, sf: C.resolve(C.tally(spark_sql(spark, sf, expand("SELECT sample, gen, label, status FROM verdict", SPARK)))).select("sample", "gen", "final", "kind", "severity", F.round("confidence", 6).alias("confidence"), "needs_review"), expand((lambda d: f"SELECT sample, gen, final, kind, severity, round(confidence, 6) AS confidence, {REVIEW} AS needs_review FROM {RESOLVED}")(DUCK), DUCK))
 sql("override_reason", lambda d: f"SELECT sample, reason, severity, round(confidence, 6) AS confidence FROM {RESOLVED} WHERE kind = 'unanimous_label_override'")
 sql("soft_labels", lambda d: "SELECT sample, CASE WHEN n_ok = 0 THEN 1e0 / 3e0 ELSE round(c0 / n_ok, 3) END AS s0, CASE WHEN n_ok = 0 THEN 1e0 / 3e0 ELSE round(c1 / n_ok, 3) END AS s1, CASE WHEN n_ok = 0 THEN 1e0 / 3e0 ELSE round(c2 / n_ok, 3) END AS s2 FROM (SELECT sample, CAST(n_ok AS double) AS n_ok, c0, c1, c2 FROM tally) AS t")
 sql("expected_judges", lambda d: "SELECT p.id AS sample, CASE WHEN count(v.judge) = 0 THEN 5 ELSE count(v.judge) END AS expected FROM pair p LEFT JOIN verdict v ON p.id = v.sample GROUP BY p.id")

@@ -1,6 +1,10 @@
 """Scores on logit and probability columns; batches by token budget."""
 
-from .base import rank_relation, sql
+from pyspark.sql import functions as F
+
+from gavelflow.operators import evaluate as E
+
+from .base import DUCK, SPARK, expand, query, rank_relation, spark_sql, sql
 
 SM = "exp({0} / {1}) / (exp(z0 / {1}) + exp(z1 / {1}) + exp(z2 / {1}))"
 sql("softmax", lambda d: f"SELECT id, round({SM.format('z0', '0.7e0')}, 6) AS p0, round({SM.format('z1', '0.7e0')}, 6) AS p1, round({SM.format('z2', '0.7e0')}, 6) AS p2 FROM logit")
@@ -12,7 +16,8 @@ K = "CASE WHEN k = 2 THEN 1.637e0 WHEN k BETWEEN 3 AND 5 THEN 1.251e0 WHEN k BET
 sql("bucketed_temperature", lambda d: f"SELECT group_id, count(*) AS k, {K.replace('k ', 'count(*) ')} AS t FROM grouped GROUP BY group_id")
 SLOT = "(SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ord, part, score) - 1 AS slot, count(*) OVER (PARTITION BY group_id) AS kk FROM grouped) AS g"
 sql("debias_average", lambda d: f"SELECT group_id, slot, round(avg(soft * (1 + ((slot + i) % kk) / 100e0)), 6) AS score FROM {SLOT} CROSS JOIN {d.seq(20)} AS s WHERE i < kk GROUP BY group_id, slot")
-sql("debias_average_probs", lambda d: f"SELECT group_id, slot, CASE WHEN kk = 1 THEN 1e0 ELSE round(avg(1e0 / (1 + ((slot + i) % kk))), 6) END AS prob FROM {SLOT} CROSS JOIN {d.seq(20)} AS s WHERE i < kk AND kk <= 20 GROUP BY group_id, slot, kk")
+# a model with a liking for first positions: what it gives the option that stands at a position in a shift
+query("debias_average_probs", lambda spark, sf: E.debias(spark_sql(spark, sf, expand(f"SELECT group_id, i AS shift, slot AS position, kk, 1e0 / (1 + slot) AS x FROM {SLOT} CROSS JOIN {SPARK.seq(20)} AS s WHERE i < kk AND kk <= 20", SPARK)), "group_id", "shift", "position", "kk", "x").select("group_id", "slot", F.round("score", 6).alias("prob")), expand((lambda d: f"SELECT group_id, slot, CASE WHEN kk = 1 THEN 1e0 ELSE round(avg(1e0 / (1 + ((slot + i) % kk))), 6) END AS prob FROM {SLOT} CROSS JOIN {d.seq(20)} AS s WHERE i < kk AND kk <= 20 GROUP BY group_id, slot, kk")(DUCK), DUCK))
 sql("rerank", lambda d: "SELECT group_id, ord, part, row_number() OVER (PARTITION BY group_id ORDER BY soft DESC, ord, part, score) AS rank, round(exp(soft) / sum(exp(soft)) OVER (PARTITION BY group_id), 6) AS prob FROM grouped")
 sql("decide", lambda d: "SELECT group_id, part AS choice, round(prob, 6) AS prob FROM (SELECT group_id, part, exp(soft) / sum(exp(soft)) OVER (PARTITION BY group_id) AS prob, row_number() OVER (PARTITION BY group_id ORDER BY soft DESC, ord, part, score) AS r FROM grouped) AS t WHERE r = 1")
 NAME = "CASE pred WHEN 0 THEN 'contradiction' WHEN 1 THEN 'entailment' ELSE 'neutral' END"

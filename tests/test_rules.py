@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gavelflow import registry
 from gavelflow.__main__ import main
-from gavelflow.operators import clean, decontam, evaluate, mutate, packing, ranks, records, sample, typed
+from gavelflow.operators import clean, committee, decontam, evaluate, mutate, packing, ranks, records, sample, typed
 from gavelflow.operators.salvage import salvaged
 
 SF = "/root/testdata/sf0.001"
@@ -307,6 +307,28 @@ def test_decisions_api(spark):
     assert {r["g"]: r["rating"] for r in evaluate.rate(d, "g", "o", "s").collect()} == {"a": 9 / 7}
 
 
+def test_debias(spark):
+    """A bias by position cancels out over all shifts."""
+    own, bias = [0.1, 0.5, 0.4], [0.3, 0.0, -0.3]
+    rows = [("q", s, p, 3, own[(p + s) % 3] + bias[p]) for s in range(3) for p in range(3)] + [("one", 0, 0, 1, 0.2)]
+    d = spark.createDataFrame(rows, "g string, s int, p int, k int, x double")
+    got = {(r["g"], r["slot"]): round(r["score"], 9) for r in evaluate.debias(d, "g", "s", "p", "k", "x").collect()}
+    assert got == {("q", 0): 0.1, ("q", 1): 0.5, ("q", 2): 0.4, ("one", 0): 1.0}
+    with pytest.raises(ValueError):
+        evaluate.debias(d, "g", "s", "p", "k", "x", most=2)
+
+
+def test_committee(spark):
+    """Outcomes by hand: unanimous, split, tie, nobody, a single vote against, an override with and without all judges."""
+    votes = [("a", 1, [1, 1, 1]), ("b", 1, [0, 0, 1]), ("c", 1, [0, 1, None]), ("d", 2, [None, None]), ("e", 1, [0, None]), ("f", 1, [2, 2, 2]), ("g", 2, [0, 0, None]), ("h", 0, [0, 0, None]), ("i", 2, [1, 1])]
+    d = spark.createDataFrame([(s, g, v or 0, "offline" if v is None else "ok") for s, g, vs in votes for v in vs], "sample string, gen int, label int, status string")
+    got = {r["sample"]: (r["final"], r["kind"], r["severity"], round(r["confidence"], 3)) for r in committee.resolve(committee.tally(d)).collect()}
+    assert got == {
+        "a": (1, "unanimous_consensus", "none", 1.0), "b": (0, "committee_split", "high", 0.667), "c": (1, "committee_split_tie", "high", 0.5), "d": (2, "no_judge_verdicts", "high", 0.0), "e": (1, "insufficient_quorum", "high", 1.0),
+        "f": (2, "unanimous_label_override", "low", 1.0), "g": (0, "unanimous_label_override", "high", 0.667), "h": (0, "partial_committee_failure", "medium", 1.0), "i": (1, "unanimous_label_override", "medium", 1.0),
+    }
+
+
 def test_command_line(spark, capsys, tmp_path):
     assert main(["list"]) == 0 and "accuracy" in capsys.readouterr().out.split()
     assert main(["sql", "accuracy"]) == 0 and main(["run", "no_such", "--data", SF]) == 2
