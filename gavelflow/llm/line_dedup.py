@@ -52,11 +52,10 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def passage(line: Column, passage_words: int | None) -> Column:
-    """Whether a line has more words than that; so many words need twice as many characters."""
+    """Whether a line has more words than that; so many words need twice as many bytes."""
     if passage_words is None:
         return F.lit(False)
-    words = F.size(F.split(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), " "))
-    return F.when(F.length(line) > 2 * passage_words, words > passage_words).otherwise(False)
+    return F.when(F.octet_length(line) > 2 * passage_words, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) > passage_words).otherwise(False)
 
 
 def repeated_runs(docs: DataFrame, min_run: int = 2, passage_words: int | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gavelflow.llm import line_dedup
