@@ -14,8 +14,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The sentence in which an option is served, and the largest number of options with standard keys.
+#: The sentences in which an option is served, the words around the parts of a record, the descriptions of
+#: classes and fixed options, and the largest number of options with standard keys.
 SERVED = "The correct answer is: {}"
+SERVED_GAP, SERVED_PASSAGE, SERVED_TOPIC, SERVED_EMOTION = "This statement is correct and logical: {}", "The factual answer is: {}", "The primary topic of this article is: {}", "The author feels {}."
+QUESTION = "\n\nQuestion: "
+HOLDING = "Select the legal holding that correctly completes the citation in the context:\n\n"
+ABSTRACT, ABSTRACT_ANSWER = "Biomedical Abstract:\n", "Based on the biomedical evidence, the answer is: "
+CONCEPT, PUZZLE, FACTS = "Concept: ", "Analytical Reasoning Puzzle:\n", "Contextual Facts:\n"
+PROBLEM, GAP = "Solve the following mathematical/numerical problem:\n\n", "Statement verification:"
+TRUE_FALSE = ["Yes, this is true.", "No, this is false."]
+TOPICS = ["World news, foreign affairs, and international politics.", "Sports competitions, athletic teams, and games.", "Business, corporate earnings, stock markets, and economy.", "Science, computer technology, software, and engineering."]
+EMOTIONS = ["sadness and sorrow", "joy and happiness", "love and affection", "anger and irritation", "fear and anxiety", "surprise and astonishment"]
+ASSISTANT, HELD_OUT = "The assistant should: ", ("The value of `", "` is stated in the user request.")
+NOUL = {"false": "no, the statement does not hold", "true": "yes, the statement holds"}
 MOST_OPTIONS = 20
 
 
@@ -82,12 +94,12 @@ def _name(field: str | None, split: str = "train", default: str = "") -> Column:
 
 
 def _asked(context: Column, question: Column) -> Column:
-    return F.concat(context, F.lit("\n\nQuestion: "), question)
+    return F.concat(context, F.lit(QUESTION), question)
 
 
 def holdings() -> Converter:
     """A legal context, five endings, the place of the right one."""
-    return Converter(_name(None), F.concat(F.lit("Select the legal holding that correctly completes the citation in the context:\n\n"), filled("context")), strings("endings"), whole("label"))
+    return Converter(_name(None), F.concat(F.lit(HOLDING), filled("context")), strings("endings"), whole("label"))
 
 
 def reading() -> Converter:
@@ -114,7 +126,7 @@ def _abstract() -> Column:
 def abstracts() -> Converter:
     """An abstract with a question that is answered by yes, no or maybe."""
     options = F.array(*map(F.lit, ("yes", "no", "maybe")))
-    premise = F.concat(F.lit("Biomedical Abstract:\n"), _asked(_abstract(), filled("question")))
+    premise = F.concat(F.lit(ABSTRACT), _asked(_abstract(), filled("question")))
     return Converter(_name("pubid"), premise, options, F.array_position(options, F.lower(text("final_decision"))) - 1)
 
 
@@ -124,20 +136,20 @@ def abstract_rows(records: DataFrame) -> DataFrame:
     d = records.select(F.concat(F.lit("pubmedqa_nli_"), c.name).alias("id"), c.premise.alias("premise"), F.lower(text("final_decision")).alias("answer"))
     label = F.when(F.col("answer") == "yes", 1).when(F.col("answer") == "no", 0).when(F.col("answer") == "maybe", 2)
     d = d.withColumn("label", label).where("premise IS NOT NULL AND label IS NOT NULL")
-    return d.select("id", "premise", F.concat(F.lit("Based on the biomedical evidence, the answer is: "), "answer", F.lit(".")).alias("hypothesis"), "label")
+    return d.select("id", "premise", F.concat(F.lit(ABSTRACT_ANSWER), "answer", F.lit(".")).alias("hypothesis"), "label")
 
 
 def commonsense() -> Converter:
     """Parallel lists of labels and texts; the answer is one of the labels."""
     labels, texts = strings("choices.label"), strings("choices.text")
-    concept = F.coalesce(F.concat(F.lit("Concept: "), filled("question_concept"), F.lit("\n")), F.lit(""))
+    concept = F.coalesce(F.concat(F.lit(CONCEPT), filled("question_concept"), F.lit("\n")), F.lit(""))
     gold = F.when(F.size(labels) == F.size(texts), F.array_position(labels, F.nullif(F.upper(text("answerKey")), F.lit(""))) - 1)
     name = F.concat(F.lit("train_"), F.coalesce(F.get_json_object("record", "$.id"), F.concat(F.lit("csqa_"), F.col("index").cast("string"))))
     return Converter(name, F.concat(concept, F.lit("Question: "), filled("question")), texts, gold)
 
 
 def puzzles() -> Converter:
-    return Converter(_name("id_string", default="lsat_ar_"), F.concat(F.lit("Analytical Reasoning Puzzle:\n"), _asked(filled("context"), filled("question"))), strings("answers"), whole("label"))
+    return Converter(_name("id_string", default="lsat_ar_"), F.concat(F.lit(PUZZLE), _asked(filled("context"), filled("question"))), strings("answers"), whole("label"))
 
 
 def strategies() -> Converter:
@@ -146,13 +158,13 @@ def strategies() -> Converter:
     question = F.concat(F.lit("Question: "), filled("question"))
     answer = F.get_json_object("record", "$.answer")
     yes = answer.isin("true", "1")
-    return Converter(_name("qid", default="strat_"), F.when(facts != "", F.concat(F.lit("Contextual Facts:\n"), facts, F.lit("\n\n"), question)).otherwise(question), F.array(F.lit("Yes"), F.lit("No")), F.when(answer.isNotNull(), F.when(yes, 0).otherwise(1)))
+    return Converter(_name("qid", default="strat_"), F.when(facts != "", F.concat(F.lit(FACTS), facts, F.lit("\n\n"), question)).otherwise(question), F.array(F.lit("Yes"), F.lit("No")), F.when(answer.isNotNull(), F.when(yes, 0).otherwise(1)))
 
 
 def algebra() -> Converter:
     """Options that begin with their letter, which is taken off."""
     options = F.transform(strings("options"), lambda x: F.regexp_replace(strip(x), r"^[A-E][):][ \t\n]*", ""))
-    return Converter(_name(None), F.concat(F.lit("Solve the following mathematical/numerical problem:\n\n"), filled("question")), options, letter(F.upper(text("correct")), "E"))
+    return Converter(_name(None), F.concat(F.lit(PROBLEM), filled("question")), options, letter(F.upper(text("correct")), "E"))
 
 
 def science() -> Converter:
@@ -168,17 +180,12 @@ def gaps() -> Converter:
     """A sentence with a gap and two fillings."""
     sentence = F.get_json_object("record", "$.sentence")
     fill = lambda n: F.replace(sentence, F.lit("_"), F.get_json_object("record", f"$.option{n}"))
-    return Converter(F.col("index").cast("string"), F.when(sentence.isNotNull(), F.lit("Statement verification:")), F.array(fill(1), fill(2)), F.when(F.get_json_object("record", "$.answer") == "1", 0).otherwise(1), "This statement is correct and logical: {}")
+    return Converter(F.col("index").cast("string"), F.when(sentence.isNotNull(), F.lit(GAP)), F.array(fill(1), fill(2)), F.when(F.get_json_object("record", "$.answer") == "1", 0).otherwise(1), SERVED_GAP)
 
 
 def passages() -> Converter:
     premise = F.concat(F.lit("Passage: "), F.get_json_object("record", "$.passage"), F.lit("\nQuestion: "), F.get_json_object("record", "$.question"), F.lit("?"))
-    return Converter(F.col("index").cast("string"), premise, F.array(F.lit("Yes, this is true."), F.lit("No, this is false.")), F.when(F.get_json_object("record", "$.answer") == "true", 0).otherwise(1), "The factual answer is: {}")
-
-
-#: The descriptions of the classes.
-TOPICS = ["World news, foreign affairs, and international politics.", "Sports competitions, athletic teams, and games.", "Business, corporate earnings, stock markets, and economy.", "Science, computer technology, software, and engineering."]
-EMOTIONS = ["sadness and sorrow", "joy and happiness", "love and affection", "anger and irritation", "fear and anxiety", "surprise and astonishment"]
+    return Converter(F.col("index").cast("string"), premise, F.array(*map(F.lit, TRUE_FALSE)), F.when(F.get_json_object("record", "$.answer") == "true", 0).otherwise(1), SERVED_PASSAGE)
 
 
 def classes(before: str, options: list[str], served: str) -> Converter:
@@ -196,8 +203,8 @@ def tool_choices(records: DataFrame) -> DataFrame:
     answers = F.coalesce(strings("answers"), F.array(F.get_json_object("record", "$.answers")))
     d = records.select("index", premise.alias("premise"), answers.alias("answers"), F.coalesce(text("correct_answer"), F.lit("")).alias("correct"), filled("held_out_param").alias("held")).where("premise IS NOT NULL")
     options = d.select("index", "premise", "correct", F.explode("answers").alias("option")).withColumn("option", strip(F.coalesce("option", F.lit("None")))).where("option <> ''")
-    options = options.select("index", "premise", F.concat(F.lit("The assistant should: "), F.substring("option", 1, 300)).alias("hypothesis"), (F.col("option") == F.col("correct")).cast("int").alias("label"), F.lit("when2call").alias("source"))
-    held = d.where("held IS NOT NULL").select("index", "premise", F.concat(F.lit("The value of `"), "held", F.lit("` is stated in the user request.")).alias("hypothesis"), F.lit(0).alias("label"), F.lit("when2call_param").alias("source"))
+    options = options.select("index", "premise", F.concat(F.lit(ASSISTANT), F.substring("option", 1, 300)).alias("hypothesis"), (F.col("option") == F.col("correct")).cast("int").alias("label"), F.lit("when2call").alias("source"))
+    held = d.where("held IS NOT NULL").select("index", "premise", F.concat(F.lit(HELD_OUT[0]), "held", F.lit(HELD_OUT[1])).alias("hypothesis"), F.lit(0).alias("label"), F.lit("when2call_param").alias("source"))
     return options.unionByName(held)
 
 
@@ -263,4 +270,4 @@ def option_texts() -> Column:
     level = F.transform(F.from_json(crit, "array<string>"), lambda x, i: F.concat(F.lit("level "), i.cast("string"), F.lit(": "), x))
     side = lambda name, other: F.concat(F.lit(f"{name}: "), F.coalesce(F.nullif(F.get_json_object("record", f"$.crit.{name}"), F.lit("")), F.lit(other)))
     kind = F.get_json_object("record", "$.t")
-    return F.when(kind == "choice", choice).when(kind == "score", level).otherwise(F.array(side("false", "no, the statement does not hold"), side("true", "yes, the statement holds")))
+    return F.when(kind == "choice", choice).when(kind == "score", level).otherwise(F.array(*(side(*x) for x in NOUL.items())))

@@ -74,6 +74,7 @@ query(
 
 
 # graded pairs: how sure the right option and the others are
+#: The numbers in the two queries below are fixed values.
 def graded(right, labels_right, labels_wrong, source):
     def run(spark, sf):
         d = order_decisions(spark, sf).where("size(options) > 1")
@@ -123,10 +124,14 @@ def _single(spark, sf):
     return d.select(F.col("id").cast("long").alias("group_id"), F.lit(1).alias("k"), F.transform("options", lambda o: F.struct(F.lit("A").alias("label"), o["key"].alias("key"), o["text"].alias("description"), F.lit(1.0).alias("p"))).alias("o"), F.lit("A").alias("gold_code"), "gold_key")
 
 
+#: The turns of a prompt.
+TURN = ("<start_of_turn>user\nState:\n", "\n\nQuestion: ", "\nOptions:\n", "\nAnswer with the option code only.<end_of_turn>\n<start_of_turn>model\n", "<end_of_turn>")
+
+
 def _prompts(d):
     lines = F.array_join(F.transform("o", lambda x: F.concat(F.lit("["), x["label"], F.lit("] "), x["key"], F.when(x["description"] != "", F.concat(F.lit(": "), x["description"])).otherwise(F.lit("")))), "\n")
-    prompt = F.concat(F.lit("<start_of_turn>user\nState:\nOrder "), F.col("group_id").cast("string"), F.lit("\n\nQuestion: Which is the dearest?\nOptions:\n"), lines, F.lit("\nAnswer with the option code only.<end_of_turn>\n<start_of_turn>model\n"))
-    return d.select("group_id", prompt.alias("prompt"), F.concat("gold_code", F.lit("<end_of_turn>")).alias("completion"), F.array_join(F.transform("o", lambda x: x["label"]), "").alias("codes"))
+    prompt = F.concat(F.lit(TURN[0] + "Order "), F.col("group_id").cast("string"), F.lit(f"{TURN[1]}Which is the dearest?{TURN[2]}"), lines, F.lit(TURN[3]))
+    return d.select("group_id", prompt.alias("prompt"), F.concat("gold_code", F.lit(TURN[4])).alias("completion"), F.array_join(F.transform("o", lambda x: x["label"]), "").alias("codes"))
 
 
 def nli_v2(d):

@@ -124,8 +124,8 @@ register("bench_mmlu", "mmlu", R.subjects, "n", raw("question"), items("choices"
 FILLED = ", ".join(f"replace({raw('sentence')}, '_', {raw(f'option{i}')})" for i in (1, 2))
 register("bench_winogrande", "winogrande", R.gaps, "n", f"CASE WHEN {raw('sentence')} IS NOT NULL THEN 'Statement verification:' END", f"[{FILLED}]", f"CASE WHEN {raw('answer')} = '1' THEN 0 ELSE 1 END", served="This statement is correct and logical: {}")
 register("bench_boolq", "boolq", R.passages, "n", f"'Passage: ' || {raw('passage')} || '\nQuestion: ' || {raw('question')} || '?'", "['Yes, this is true.', 'No, this is false.']", f"CASE WHEN {raw('answer')} = 'true' THEN 0 ELSE 1 END", served="The factual answer is: {}")
-register("bench_topics", "ag_news", lambda: R.classes("News Article: ", R.TOPICS, "The primary topic of this article is: {}"), "n", f"'News Article: ' || {raw('text')}", listed(R.TOPICS), number("label"), served="The primary topic of this article is: {}")
-register("bench_emotion", "emotion", lambda: R.classes("Statement: ", R.EMOTIONS, "The author feels {}."), "n", f"'Statement: ' || {raw('text')}", listed(R.EMOTIONS), number("label"), served="The author feels {}.")
+register("bench_topics", "ag_news", lambda: R.classes("News Article: ", R.TOPICS, R.SERVED_TOPIC), "n", f"'News Article: ' || {raw('text')}", listed(R.TOPICS), number("label"), served="The primary topic of this article is: {}")
+register("bench_emotion", "emotion", lambda: R.classes("Statement: ", R.EMOTIONS, R.SERVED_EMOTION), "n", f"'Statement: ' || {raw('text')}", listed(R.EMOTIONS), number("label"), served="The author feels {}.")
 
 W2C = f"""(SELECT n, substr({full('question')}, 1, 2500) || '\nAvailable tools: ' || substr(coalesce({raw('tools')}, 'null'), 1, 1200) AS premise, CASE WHEN json_type(j, '$.answers') = 'ARRAY' THEN {items('answers')} ELSE [{raw('answers')}] END AS answers,
     coalesce({strip('correct_answer')}, '') AS correct, {full('held_out_param')} AS held FROM {source('when2call')}) AS d"""
