@@ -54,7 +54,16 @@ query(
     "SELECT c_custkey, c_name, md5(concat('42:', c_custkey)) AS place FROM customer WHERE CAST(concat('0x', substr(md5(concat('split:', c_custkey)), 1, 7)) AS bigint) % 10 = 0",
 )
 query("scan_parts", round_trip(lambda df, p: df.write.partitionBy("label").json(p), lambda s, p: s.read.schema(PAIR).json(p).orderBy("label", "id")), SQL)
-query("scan_sql_table", lambda spark, sf: spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_name"), "SELECT s_suppkey, s_name FROM supplier")
+
+
+def _database(spark, sf):
+    """The nations as a table of a database file, read back by a statement that joins and filters there."""
+    path = f"{folder(spark)}.db"
+    S.sqlite(spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"), path, "nation")
+    return R.sqlite(spark, path, "SELECT a.n_nationkey, a.n_name, count(*) AS neighbours FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY 1, 2", "n_nationkey long, n_name string, neighbours long")
+
+
+query("scan_sql_table", _database, "SELECT n_nationkey, n_name, count(*) OVER (PARTITION BY n_regionkey) AS neighbours FROM nation")
 query("file_sha", lambda spark, sf: R.file_hashes(spark, f"{sf}/region.parquet"))
 query("sink_jsonl", round_trip(S.jsonl, lambda s, p: R.jsonl(s, p, PAIR).groupBy("label").agg(F.count(F.lit(1)).alias("n"))), f"SELECT label, count(*) AS n FROM ({SQL}) GROUP BY label")
 query("sink_gzip", round_trip(lambda df, p: S.jsonl(df, p, gzip=True), lambda s, p: R.jsonl(s, p, PAIR).groupBy("source").agg(F.count(F.lit(1)).alias("n"))), f"SELECT source, count(*) AS n FROM ({SQL}) GROUP BY source")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,26 @@ def required(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sqlite(spark: SparkSession, path: str, statement: str, schema: str) -> DataFrame:
+    """The rows of a statement over each SQLite file at path (a file, a folder or a pattern): files come through Spark's reader, one task takes one file at a time."""
+    names = spark.createDataFrame([], schema).columns
+
+    def run(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                with contextlib.closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(bytes(content))
+                    found = db.execute(statement)
+                    while rows := found.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """name, first 16 hex digits of the SHA-256 of each file's bytes."""
     files = spark.read.format("binaryFile").load(path)

@@ -101,6 +101,19 @@ def test_readers(spark, tmp_path):
     assert "| a |" in sinks.markdown(spark.createDataFrame([(1,)], "a int"))
 
 
+def test_databases(spark, tmp_path):
+    """Several files, a table that is empty, nulls, and a table too large for the driver's file."""
+    d = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    (tmp_path / "dbs").mkdir()
+    sinks.sqlite(d, str(tmp_path / "dbs" / "one.db"), "t")
+    sinks.sqlite(d.limit(0), str(tmp_path / "dbs" / "none.db"), "t")
+    sinks.sqlite(d.where("k = 2"), str(tmp_path / "dbs" / "two.db"), "t")
+    got = readers.sqlite(spark, str(tmp_path / "dbs"), "SELECT k, v FROM t WHERE k > 0", "k long, v string").collect()
+    assert collections.Counter(map(tuple, got)) == {(1, "a"): 1, (2, None): 2}
+    with pytest.raises(ValueError):
+        sinks.sqlite(d, str(tmp_path / "big.db"), "t", most=1)
+
+
 def test_ngrams_at_the_edges(spark):
     t = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c a b c")], "k int, text string")
     got = {r["k"]: r["grams"] for r in decontam.with_grams(t, decontam.ws_words, 3).collect()}
