@@ -46,8 +46,10 @@ def n_buckets(size: int, bucket_bytes: int = 12_000_000) -> int:
 
 
 def n_partitions(docs: DataFrame, size: int, bytes_each: int = 32_000_000) -> int:
-    """Shuffle partitions for so many bytes: those set for the session, more where a partition would get too large."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+    """Shuffle partitions for so many bytes: those set for the session, more where a partition would get too large, but no more than a table can have buckets."""
+    conf = docs.sparkSession.conf
+    most = int(conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(int(conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each)))
 
 
 def encoded(t: pa.Table, chunk: int, part: int) -> pa.RecordBatch:
