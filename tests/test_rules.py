@@ -329,6 +329,12 @@ def test_committee(spark):
     }
 
 
+def test_file_hashes(spark):
+    with open(f"{SF}/region.parquet", "rb") as f:
+        want = hashlib.sha256(f.read()).hexdigest()[:16]
+    assert [tuple(r) for r in registry.QUERIES["file_sha"](spark, SF).collect()] == [("region.parquet", want)]
+
+
 def test_command_line(spark, capsys, tmp_path):
     assert main(["list"]) == 0 and "accuracy" in capsys.readouterr().out.split()
     assert main(["sql", "accuracy"]) == 0 and main(["run", "no_such", "--data", SF]) == 2
